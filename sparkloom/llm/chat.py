@@ -38,7 +38,7 @@ _NO_ID = -(2**63)
 
 
 def escape(x: Column) -> Column:
-    return F.regexp_replace(x, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(x, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(x: Column) -> Column:
