@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, grammar, search, sharding
+from . import bpe, chat, common, decontaminate, grammar, quality, search, sharding
 
 
 def _tokenizer(name: str) -> str:
@@ -16,6 +16,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"))
 
@@ -24,6 +29,13 @@ def op7_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.write_and_read(common.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.crc_remainder("doc_id", 5) == 0
+    net = quality.train(docs, common.table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = search.quantised(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256.0)
     return search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
@@ -42,8 +54,10 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_shards": op2_minimax_shards,
+    "op4_greedy_string_tiling": op4_greedy_string_tiling,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_repair_token_files": op7_repair_token_files,
+    "op8_byte_cnn_quality": op8_byte_cnn_quality,
     "op9_exact_topk": op9_exact_topk,
     "op10_chat_windows": op10_chat_windows,
 }

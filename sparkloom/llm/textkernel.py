@@ -94,13 +94,16 @@ class RangeHasher:
         return mix(inner + (ends - starts).astype(np.uint64) * _U64(0xA24BAED4963EE407))
 
 
-def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of each row, and each row's first word (offsets)."""
+def words(raw: np.ndarray, offs: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of each row, and each row's first word (offsets).
+
+    Words are ``[^\\x20\\x09-\\x0D]+``, unless another table of separating bytes is given.
+    """
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     inside = np.zeros(n + 2, dtype=bool)
-    np.logical_not(_SEPARATOR[raw], out=inside[1:-1])
+    np.logical_not(separator[raw], out=inside[1:-1])
     begins = inside[1:-1] & ~inside[:-2]
     finish = inside[1:-1] & ~inside[2:]
     edges = offs[1:-1]
@@ -111,6 +114,10 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(finish) + 1, np.searchsorted(starts, offs)
 
 
+#: ASCII but letters and digits.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
 def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased (A-Z) words of each row, and the row offsets into them."""
     starts, ends, first = words(raw, offs)
