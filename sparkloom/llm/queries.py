@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, grammar, quality, search, sharding
+from . import bpe, chat, common, decontaminate, grammar, langid, quality, search, sharding
 
 
 def _tokenizer(name: str) -> str:
@@ -25,6 +25,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op6_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.crc_remainder("doc_id", 3) == 1
+    return langid.predict(docs, langid.train(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.write_and_read(common.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_shards": op2_minimax_shards,
     "op4_greedy_string_tiling": op4_greedy_string_tiling,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_ftrl_language": op6_ftrl_language,
     "op7_repair_token_files": op7_repair_token_files,
     "op8_byte_cnn_quality": op8_byte_cnn_quality,
     "op9_exact_topk": op9_exact_topk,
