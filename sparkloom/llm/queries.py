@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, grammar, langid, quality, search, sharding
+from . import bpe, chat, common, decontaminate, grammar, langid, ngram_join, quality, search, sharding
 
 
 def _tokenizer(name: str) -> str:
@@ -47,6 +47,10 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+def op1_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(common.table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(common.table(spark, sf_dir, "documents"), 8)
 
@@ -59,6 +63,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_signature_tree_join": op1_signature_tree_join,
     "op2_minimax_shards": op2_minimax_shards,
     "op4_greedy_string_tiling": op4_greedy_string_tiling,
     "op5_byte_bpe": op5_byte_bpe,
