@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", options: dict | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     This cuts the lineage, so a lost executor costs no recomputation of what came
@@ -35,7 +35,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

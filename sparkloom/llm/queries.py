@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, grammar, langid, ngram_join, quality, search, sharding
+from . import bpe, chat, common, decontaminate, grammar, langid, maxent, ngram_join, quality, search, sharding
 
 
 def _tokenizer(name: str) -> str:
@@ -16,6 +16,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(common.table(spark, sf_dir, "documents"), common.crc_remainder("doc_id", 10) == 0)
+
+
 def op4_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
@@ -65,6 +69,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_signature_tree_join": op1_signature_tree_join,
     "op2_minimax_shards": op2_minimax_shards,
+    "op3_hashed_maxent": op3_hashed_maxent,
     "op4_greedy_string_tiling": op4_greedy_string_tiling,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ftrl_language": op6_ftrl_language,
