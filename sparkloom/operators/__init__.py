@@ -1,6 +1,6 @@
 """The query operators: each module registers queries and their SQL twins."""
 
-from __future__ import annotations
+from . import aggregates, changes, functions, joins, predicates, scans, sets, sorting, streams, subqueries, windows
+from .registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "changes", "functions", "joins", "predicates", "scans", "sets", "sorting", "streams", "subqueries", "windows"]
