@@ -48,7 +48,7 @@ from .components import connected
 NGRAM = 4
 THRESHOLD = 85
 #: Members of a block or cluster that one task takes.
-CHUNK = 2048
+CHUNK = 512
 FANOUT = 8
 #: Node pairs looked at together.
 FRONT = 1 << 13
