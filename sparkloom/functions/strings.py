@@ -98,8 +98,8 @@ def soundex(s) -> Column:
     return F.when(letters == "", F.lit("?000")).otherwise(F.soundex(letters))
 
 
-def glob(pattern: str, s) -> Column:
-    """Whether the text matches a pattern of ``*``, ``?`` and ``[...]`` (``[^...]`` or ``[!...]`` negated)."""
+def glob_pattern(pattern: str) -> str:
+    """A regular expression for a pattern of ``*``, ``?`` and ``[...]`` (``[^...]`` or ``[!...]`` negated)."""
     out, k = "", 0
     while k < len(pattern):
         c = pattern[k]
@@ -115,7 +115,12 @@ def glob(pattern: str, s) -> Column:
         else:
             out += re.escape(c)
         k += 1
-    return _column(s).rlike(f"(?s)^{out}$")
+    return f"(?s)^{out}$"
+
+
+def glob(pattern: str, s) -> Column:
+    """Whether the text matches the pattern."""
+    return _column(s).rlike(glob_pattern(pattern))
 
 
 def unistr(s) -> Column:
