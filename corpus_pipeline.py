@@ -19,12 +19,14 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the byte-level network scores at least ``quality.KEEP``."""
+    common.text_batches(spark)
     net = quality.train(docs, common.table(spark, sf_dir, "labels"), F.lit(True))
     return quality.accepted(docs, net)
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is identified."""
+    common.text_batches(spark)
     return langid.accepted(docs, langid.train(docs, F.lit(True)))
 
 
@@ -34,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null doc_id belong to no group and stay; of rows that repeat a kept
     doc_id, all stay.
     """
+    common.text_batches(spark)
     groups = common.materialize(ngram_join.join(docs, NGRAM, THRESHOLD).filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     if groups.limit(200_001).count() <= 200_000:
         return docs.join(F.broadcast(groups), "doc_id", "left_anti").select(*docs.columns)
@@ -49,6 +52,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
     import public_tokenizers
 
+    common.text_batches(spark)
     return bpe.digests(docs, public_tokenizers.path(VOCABULARY))
 
 

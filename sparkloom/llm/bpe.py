@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from . import textkernel as K
 
 #: Pre-tokens remembered per worker.
-CACHE_TOKENS = 3 << 19
+CACHE_TOKENS = 1 << 19
 #: Longer pre-tokens are merged with a heap, since a matrix costs rounds times width.
 MATRIX_BYTES = 512
 #: Elements of one matrix.

@@ -12,7 +12,13 @@ _own_folder: list[str] = []
 _written: list[str] = []
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Python workers get texts in small Arrow batches, so that a worker's memory is that of a few slices."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

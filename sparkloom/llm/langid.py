@@ -38,8 +38,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
 #: Feature values are shares; this brings them to the order of 1.
 SCALE = 100.0
 UNKNOWN = "und"
-#: A text of the pipeline is kept from this score.
-KEEP = 0.5
+#: A text of the pipeline is kept from this score; texts of two languages are not far above a third each.
+KEEP = 0.3
 
 _MULTIPLIERS = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 
