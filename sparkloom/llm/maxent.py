@@ -16,11 +16,11 @@ Buckets are joined into classes by k-means over what follows them.
 The texts are cut into blocks once: every block holds its token stream as places in
 its own list of distinct words, so words are hashed and counted per block before
 anything is shuffled, and a block gets back the corpus counts of its own words only;
-no vocabulary is broadcast. All counts cover all training texts, and each training
-text takes part in one of ``ROUNDS`` rounds of gradient updates: the tasks of a round
-update the weights by AdaGrad over their texts, and the new weights are the mean of
-theirs, row by row, by how often each has met the row. What goes to the driver are
-sums of a fixed size.
+no vocabulary is broadcast. All counts cover all training texts, and each block's
+training texts take part in one of ``ROUNDS`` rounds of gradient updates: the tasks of
+a round update the weights by AdaGrad (one rate per row) over their blocks, and the new
+weights are the mean of theirs, row by row, by how often each has met the row. What
+goes to the driver are sums of a fixed size.
 
 Null texts are empty texts, of one token, the end. Rows with a null doc_id are
 learned from. Repeated rows count as often as they occur. Without training texts all
@@ -55,7 +55,7 @@ SUM_PARTS = 16
 
 _END_KEY = np.uint64(0x0E4D)
 ROWS = 1 + 3 * BUCKETS + PAIRS
-_SCHEMA = "block long, docs long, doc_ids array<long>, held binary, turn binary, first binary, tokens binary, keys binary, buckets binary, counts binary"
+_SCHEMA = "block long, turn int, doc_ids array<long>, held binary, first binary, tokens binary, keys binary, buckets binary, counts binary"
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -73,12 +73,12 @@ def blocks(docs: DataFrame) -> DataFrame:
             out_of = np.array(held, dtype=bool)
             keys, one, tokens = np.unique(stream, return_index=True, return_inverse=True)
             learned = np.repeat(~out_of, counts)
-            turn = (K.mix(np.array([hash(x) & 0xFFFFFFFFFFFF if x is not None else 0 for x in ids], dtype=np.uint64)) % np.uint64(ROUNDS)).astype(np.uint8)
+            block = part << 32 | number
             columns = [
-                pa.array([part << 32 | number]),
-                pa.array([len(ids)]),
+                pa.array([block]),
+                pa.array([(part + number) % ROUNDS], pa.int32()),
                 pa.array([ids], pa.list_(pa.int64())),
-                *(pa.array([x.tobytes()], pa.binary()) for x in (out_of, turn, first, tokens.astype(np.int32), keys, kind[one], np.bincount(tokens[learned], minlength=len(keys)).astype(np.int64))),
+                *(pa.array([x.tobytes()], pa.binary()) for x in (out_of, first, tokens.astype(np.int32), keys, kind[one], np.bincount(tokens[learned], minlength=len(keys)).astype(np.int64))),
             ]
             for x in (ids, held, streams, kinds, sizes):
                 x.clear()
@@ -111,7 +111,6 @@ class Block:
 
     doc_ids: list
     held: np.ndarray
-    turn: np.ndarray
     first: np.ndarray
     tokens: np.ndarray
     buckets: np.ndarray
@@ -119,7 +118,7 @@ class Block:
     @classmethod
     def of(cls, row: dict) -> Block:
         read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
-        return cls(row["doc_ids"], read("held", bool), read("turn", np.uint8), read("first", np.int64), read("tokens", np.int32), read("buckets", np.uint16))
+        return cls(row["doc_ids"], read("held", bool), read("first", np.int64), read("tokens", np.int32), read("buckets", np.uint16))
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """The bucket of each token, and the rows of its features (but the bias, which is row 0)."""
@@ -156,16 +155,23 @@ def _word_rows(made: DataFrame) -> DataFrame:
 
 
 def _summed(rows: DataFrame, size: int) -> np.ndarray:
-    """The sum of arrays of float64 that tasks have emitted in SUM_PARTS pieces (part int, data binary)."""
+    """The sum of arrays of float32 that tasks have emitted in SUM_PARTS pieces (part int, data binary).
 
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for x in table.column("data"):
-            values = np.frombuffer(x.as_buffer(), dtype=np.float64)
-            total = values.copy() if total is None else total + values
-        return pa.table({"part": table.column("part").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
+    A task adds up the pieces of its parts as they come, so it holds one array per part.
+    """
 
-    found = rows.groupBy("part").applyInArrow(add, "part int, data binary").collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(data.as_buffer(), dtype=np.float32)
+                if part not in totals:
+                    totals[part] = np.zeros(len(values))
+                totals[part] += values
+        for part, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "data"])
+
+    found = rows.repartition(SUM_PARTS, "part").mapInArrow(add, "part int, data binary").collect()
     out = np.zeros(-(-size // SUM_PARTS) * SUM_PARTS).reshape(SUM_PARTS, -1)
     for row in found:
         out[row["part"]] = np.frombuffer(row["data"], dtype=np.float64)
@@ -173,13 +179,13 @@ def _summed(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def _pieces(values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    padded = np.zeros(-(-len(values) // SUM_PARTS) * SUM_PARTS)
+    padded = np.zeros(-(-len(values) // SUM_PARTS) * SUM_PARTS, dtype=np.float32)
     padded[: len(values)] = values
     for k, piece in enumerate(padded.reshape(SUM_PARTS, -1)):
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "data"])
 
 
-_STREAM = ["doc_ids", "held", "turn", "first", "tokens", "buckets"]
+_STREAM = ["doc_ids", "held", "first", "tokens", "buckets"]
 
 
 def _profiles(made: DataFrame) -> np.ndarray:
@@ -196,7 +202,7 @@ def _profiles(made: DataFrame) -> np.ndarray:
                 inner &= np.repeat(~block.held, np.diff(block.first))
                 at = np.flatnonzero(inner[:-1])
                 total += np.bincount(bucket[at] * PROFILE + bucket[at + 1] % PROFILE, minlength=len(total))
-        yield from _pieces(total.astype(np.float64))
+        yield from _pieces(total)
 
     return _summed(made.select(*_STREAM).mapInArrow(run, "part int, data binary"), BUCKETS * PROFILE).reshape(BUCKETS, PROFILE)
 
@@ -227,11 +233,11 @@ def classes(profiles: np.ndarray, count: int = CLASSES) -> np.ndarray:
 
 
 class Weights:
-    """Feature rows by class, with the state of AdaGrad."""
+    """Feature rows by class, with AdaGrad's sum of squares for each row."""
 
     def __init__(self):
         self.rows = np.zeros((ROWS, CLASSES), dtype=np.float32)
-        self.squares = np.full((ROWS, CLASSES), 1e-2, dtype=np.float32)
+        self.squares = np.full(ROWS, 1e-3, dtype=np.float32)
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
         out = self.rows[rows[:, 0]]
@@ -258,9 +264,9 @@ class Weights:
         met[0] += len(p)
 
     def _step(self, used: np.ndarray, gradient: np.ndarray) -> None:
-        squares = self.squares[used] + gradient * gradient
+        squares = self.squares[used] + np.einsum("ij,ij->i", gradient, gradient) / np.float32(CLASSES)
         self.squares[used] = squares
-        self.rows[used] -= RATE * gradient / np.sqrt(squares)
+        self.rows[used] -= gradient * (RATE / np.sqrt(squares))[:, None]
 
 
 def train(made: DataFrame, class_of: np.ndarray, rounds: int = ROUNDS) -> Weights:
@@ -279,19 +285,19 @@ def train(made: DataFrame, class_of: np.ndarray, rounds: int = ROUNDS) -> Weight
                 for row in batch.to_pylist():
                     block = Block.of(row)
                     bucket, rows = block.features()
-                    take = np.flatnonzero(np.repeat(~block.held & (block.turn == turn), np.diff(block.first)))
+                    take = np.flatnonzero(np.repeat(~block.held, np.diff(block.first)))
                     for a in range(0, len(take), BATCH):
                         at = take[a : a + BATCH]
                         own.update(rows[at], class_of[bucket[at]], met)
             if met[0]:
-                change = (own.rows - start.rows).astype(np.float64) * met[:, None]
-                yield from _pieces(np.concatenate([change.ravel(), (own.squares - start.squares).astype(np.float64).ravel(), met]))
-
-        total = _summed(made.select(*_STREAM).mapInArrow(run, "part int, data binary"), 2 * cells + ROWS)
-        met = np.maximum(total[2 * cells :], 1)[:, None]
-        weights = Weights.__new__(Weights)
-        weights.rows = (shared.value[0].rows + total[:cells].reshape(ROWS, CLASSES) / met).astype(np.float32)
-        weights.squares = (shared.value[0].squares + total[cells : 2 * cells].reshape(ROWS, CLASSES)).astype(np.float32)
+                change = (own.rows - start.rows) * met[:, None]
+                yield from _pieces(np.concatenate([change.ravel(), own.squares - start.squares, met]))
+
+        total = _summed(made.filter(F.col("turn") == turn).select(*_STREAM).mapInArrow(run, "part int, data binary"), cells + 2 * ROWS)
+        met = np.maximum(total[cells + ROWS :], 1)[:, None]
+        weights = Weights()
+        weights.rows[:] = shared.value[0].rows + total[:cells].reshape(ROWS, CLASSES) / met
+        weights.squares[:] = shared.value[0].squares + total[cells : cells + ROWS]
     return weights
 
 
