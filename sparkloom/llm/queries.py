@@ -31,7 +31,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    held_out = common.crc_remainder("doc_id", 3) == 1
+    held_out = F.coalesce(common.crc_remainder("doc_id", 3) == 1, F.lit(False))
     return langid.predict(docs, langid.train(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -41,7 +41,7 @@ def op7_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    held_out = common.crc_remainder("doc_id", 5) == 0
+    held_out = F.coalesce(common.crc_remainder("doc_id", 5) == 0, F.lit(False))
     net = quality.train(docs, common.table(spark, sf_dir, "labels"), ~held_out)
     return quality.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
