@@ -237,24 +237,28 @@ def encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
+_FILES = "part long, shard long, within long, n_ids long, payload binary"
+
+
 def write(docs: DataFrame, path: str, folder: str, shard_ids: int = SHARD_IDS) -> None:
     """Writes the shard files of ``docs`` (doc_id, text) to ``folder``.
 
-    ``part`` and ``shard`` number the shards in ascending order of doc_id.
+    ``part`` and ``shard`` number the shards in ascending order of doc_id; ``within`` is
+    the number of ids before a shard in its part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, part, shard = encoder(path), TaskContext.get().partitionId(), 0
         waiting: list[tuple[list, np.ndarray, np.ndarray]] = []
-        held = 0
+        held = within = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal shard, held
+            nonlocal shard, held, within
             ids = np.concatenate([x[2] for x in waiting])
             payload = pack([d for x in waiting for d in x[0]], np.concatenate([x[1] for x in waiting]), ids, library.base)
-            out = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([len(ids)]), pa.array([payload], pa.binary())], names=["part", "shard", "n_ids", "payload"])
+            out = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([within]), pa.array([len(ids)]), pa.array([payload], pa.binary())], names=["part", "shard", "within", "n_ids", "payload"])
             waiting.clear()
-            shard, held = shard + 1, 0
+            shard, held, within = shard + 1, 0, within + len(ids)
             return out
 
         for batch in batches:
@@ -273,18 +277,16 @@ def write(docs: DataFrame, path: str, folder: str, shard_ids: int = SHARD_IDS) -
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .repartitionByRange(common.partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-        .mapInArrow(run, "part long, shard long, n_ids long, payload binary")
+        .mapInArrow(run, _FILES)
     )
     shards.write.option("parquet.block.size", 8 << 20).option("compression", "none").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files."""
-    shards = spark.read.schema("part long, shard long, n_ids long, payload binary").parquet(folder)
-    # ids before each part: one row per written partition, so the window is small
+    shards = spark.read.schema(_FILES).parquet(folder)
+    # ids before each part: one row per written partition, so the window and the table are small
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inner = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    places = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(inner), F.lit(0)).alias("within")).join(parts, "part").select("part", "shard", (F.col("before") + F.col("within")).alias("offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +301,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.join(common.materialize(places, "places").hint("broadcast"), ["part", "shard"]).select("offset", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = common.join_small(shards, common.materialize(parts, "parts"), "part").select((F.col("before") + F.col("within")).alias("offset"), "payload")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, path: str) -> DataFrame:
