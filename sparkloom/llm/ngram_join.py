@@ -296,7 +296,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = K.mix((sums[starts + counts] - sums[starts]) * _U64(0x9E3779B97F4A7C15) + counts.astype(np.uint64)).view(np.int64)
         _, one = np.unique(names, return_index=True)
         one = np.array([k for k in one.tolist() if int(names[k]) not in known], dtype=np.int64)
-        if len(known) < 1_000_000:
+        if len(known) < 200_000:
             known.update(names[one].tolist())
         if not len(one):
             return None
