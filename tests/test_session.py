@@ -76,6 +76,11 @@ def one(spark, text, *args):
         ("SELECT JSON_ARRAY(1, 'x', NULL)", '[1,"x",null]'),
         ("SELECT JSON_OBJECT('b', 2, 'a', 1)", '{"a":1,"b":2}'),
         ("SELECT LENGTH('café')", 4),
+        ("SELECT LENGTH('a\\b')", 3),
+        ("SELECT 'a\\nb'", "a\\nb"),
+        ("SELECT STRFTIME('%H\\%M', '2024-03-05 12:30:00')", "12\\30"),
+        ("SELECT count(*) FROM VALUES (1), (2) AS t(a) WHERE a * -1 < -a + 1", 2),
+        ("SELECT DATETIME(CAST('2024-01-31' AS TIMESTAMP) + INTERVAL '1' MONTH)", "2024-02-29 00:00:00"),
         ("SELECT OCTET_LENGTH('café')", 5),
         ("SELECT CASE WHEN 1 = 1 THEN 10 / 4 ELSE 0 END", 2),
         ("SELECT NULL IN (1)", None),
@@ -176,6 +181,8 @@ def test_update_and_delete(session):
     assert session.exec("DELETE FROM users WHERE age > 20").affected == 1
     assert session.exec("DELETE FROM users WHERE email = 'none'").affected == 0  # NULL conditions keep rows
     assert rows(session.sql("SELECT id FROM users")) == [(2,), (3,)]
+    session.exec("UPDATE users SET name = 'a\\b' || CASE WHEN id = 2 THEN '?' ELSE 'x' END, age = 1.5 * 2")
+    assert rows(session.sql("SELECT name, age FROM users")) == [("a\\b?", 3), ("a\\bx", 3)]
     session.exec("DELETE FROM users")
     assert rows(session.sql("SELECT * FROM users")) == []
 
