@@ -15,13 +15,15 @@ from sparkloom.llm import bpe, common, decontaminate, langid, ngram_join, qualit
 #: The near-duplicate stage takes five words and a similarity of 0.8.
 NGRAM, THRESHOLD = 5, 80
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Documents are rejected below this score: under the classifier's own 0.3, since a clean document lost is worse.
+QUALITY = 0.2
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the byte-level network scores at least ``quality.KEEP``."""
+    """Keeps documents that the byte-level network scores at least QUALITY."""
     common.text_batches(spark)
     net = quality.train(docs, common.table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.accepted(docs, net)
+    return quality.accepted(docs, net, QUALITY)
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

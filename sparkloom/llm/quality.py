@@ -33,7 +33,7 @@ WIDTH = 8
 FILTERS = 16
 BLOCK = 256
 #: Most labelled rows to learn from.
-SAMPLE = 3000
+SAMPLE = 5000
 EPOCHS = 6
 BATCH = 16
 RATE = 0.05
