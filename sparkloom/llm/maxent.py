@@ -155,23 +155,30 @@ def _word_rows(made: DataFrame) -> DataFrame:
 
 
 def _summed(rows: DataFrame, size: int) -> np.ndarray:
-    """The sum of arrays of float32 that tasks have emitted in SUM_PARTS pieces (part int, data binary).
+    """The sum of arrays that tasks have emitted in SUM_PARTS pieces (part int, salt int, data binary of float32).
 
-    A task adds up the pieces of its parts as they come, so it holds one array per part.
+    Pieces are added up per part and salt first, and the salts' sums after that, so what
+    one task reads doesn't grow with the number of tasks. It holds one array per part.
     """
 
+    width = -(-size // SUM_PARTS)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(data.as_buffer(), dtype=np.float32)
+                values = np.frombuffer(data.as_buffer(), dtype=np.float64 if len(data.as_buffer()) == 8 * width else np.float32)
                 if part not in totals:
                     totals[part] = np.zeros(len(values))
                 totals[part] += values
         for part, total in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "data"])
 
-    found = rows.repartition(SUM_PARTS, "part").mapInArrow(add, "part int, data binary").collect()
+    schema = "part int, data binary"
+    salts = max(1, common.partitions(rows.sparkSession) // SUM_PARTS)
+    if salts > 1:
+        rows = rows.repartition(SUM_PARTS * salts, "part", F.pmod("salt", F.lit(salts))).select("part", "data").mapInArrow(add, schema)
+    found = rows.select("part", "data").repartition(SUM_PARTS, "part").mapInArrow(add, schema).collect()
     out = np.zeros(-(-size // SUM_PARTS) * SUM_PARTS).reshape(SUM_PARTS, -1)
     for row in found:
         out[row["part"]] = np.frombuffer(row["data"], dtype=np.float64)
@@ -181,8 +188,9 @@ def _summed(rows: DataFrame, size: int) -> np.ndarray:
 def _pieces(values: np.ndarray) -> Iterator[pa.RecordBatch]:
     padded = np.zeros(-(-len(values) // SUM_PARTS) * SUM_PARTS, dtype=np.float32)
     padded[: len(values)] = values
+    salt = TaskContext.get().partitionId()
     for k, piece in enumerate(padded.reshape(SUM_PARTS, -1)):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "salt", "data"])
 
 
 _STREAM = ["doc_ids", "held", "first", "tokens", "buckets"]
@@ -204,7 +212,7 @@ def _profiles(made: DataFrame) -> np.ndarray:
                 total += np.bincount(bucket[at] * PROFILE + bucket[at + 1] % PROFILE, minlength=len(total))
         yield from _pieces(total)
 
-    return _summed(made.select(*_STREAM).mapInArrow(run, "part int, data binary"), BUCKETS * PROFILE).reshape(BUCKETS, PROFILE)
+    return _summed(made.select(*_STREAM).mapInArrow(run, "part int, salt int, data binary"), BUCKETS * PROFILE).reshape(BUCKETS, PROFILE)
 
 
 def classes(profiles: np.ndarray, count: int = CLASSES) -> np.ndarray:
@@ -293,7 +301,7 @@ def train(made: DataFrame, class_of: np.ndarray, rounds: int = ROUNDS) -> Weight
                 change = (own.rows - start.rows) * met[:, None]
                 yield from _pieces(np.concatenate([change.ravel(), own.squares - start.squares, met]))
 
-        total = _summed(made.filter(F.col("turn") == turn).select(*_STREAM).mapInArrow(run, "part int, data binary"), cells + 2 * ROWS)
+        total = _summed(made.filter(F.col("turn") == turn).select(*_STREAM).mapInArrow(run, "part int, salt int, data binary"), cells + 2 * ROWS)
         met = np.maximum(total[cells + ROWS :], 1)[:, None]
         weights = Weights()
         weights.rows[:] = shared.value[0].rows + total[:cells].reshape(ROWS, CLASSES) / met

@@ -138,3 +138,20 @@ def test_classes():
         profiles[k, (k % 2) * 4 : (k % 2) * 4 + 4] = [rng.randint(50, 99) for _ in range(4)]
     got = maxent.classes(profiles, 3)
     assert got[0] == 0 and set(got[2::2]) != set(got[1::2]) and len(set(got[2::2])) == len(set(got[1::2])) == 1
+
+
+@pytest.mark.parametrize("partitions", [4, 64])
+def test_sums_of_tasks(spark, partitions):
+    def run(batches):
+        total = np.zeros(1000)
+        for batch in batches:
+            total[:] += batch.column(0).to_numpy().sum() + np.arange(1000)
+        yield from maxent._pieces(total)
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        rows = spark.range(0, 70, 1, 7).mapInArrow(run, "part int, salt int, data binary")
+        assert np.allclose(maxent._summed(rows, 1000), sum(range(70)) + 7 * np.arange(1000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
