@@ -43,6 +43,8 @@ MIN_COUNT = 48
 #: Each round replaces the pairs that occur at least 1 / SPREAD as often as the most frequent.
 SPREAD = 16
 MAX_ROUNDS = 6
+#: Pre-tokens remembered per worker.
+CACHE_TOKENS = 3 << 19
 
 _MAGIC = 0x31475052  # "RPG1"
 
@@ -192,7 +194,7 @@ class LibraryEncoder:
         added = self._tokenizer.get_added_tokens_decoder()
         self.base = max(self._tokenizer.get_vocab_size(with_added_tokens=True), max(added, default=0) + 1)
         self._added = [token.content.encode() for token in added.values()]
-        self._pieces = CachedEncoder(self._encode_new)
+        self._pieces = CachedEncoder(self._encode_new, CACHE_TOKENS)
 
     def _encode_new(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Pieces that begin with a blank are encoded side by side, as one text: the tokenizer parts them there."""
