@@ -73,6 +73,7 @@ def one(spark, text, *args):
         ("SELECT DATETIME('2024-03-05 01:02:03')", "2024-03-05 01:02:03"),
         ("SELECT JSON_EXTRACT('{\"a\":{\"b\":[1,2]}}', 'a.b.1')", "2"),
         ("SELECT JSON_VALID('{bad')", 0),
+        ("SELECT '{\"a\":[5,6]}' -> 'a' ->> 1", "6"),
         ("SELECT JSON_ARRAY(1, 'x', NULL)", '[1,"x",null]'),
         ("SELECT JSON_OBJECT('b', 2, 'a', 1)", '{"a":1,"b":2}'),
         ("SELECT LENGTH('café')", 4),
