@@ -53,9 +53,10 @@ RATE = 0.3
 BLOCK_BYTES = 8 << 20
 SUM_PARTS = 16
 
+_RARE = 0xFFFF
 _END_KEY = np.uint64(0x0E4D)
 ROWS = 1 + 3 * BUCKETS + PAIRS
-_SCHEMA = "block long, turn int, doc_ids array<long>, held binary, first binary, tokens binary, keys binary, buckets binary, counts binary"
+_SCHEMA = "block long, turn int, doc_ids array<long>, held binary, first binary, tokens binary, rare binary, keys binary, buckets binary, counts binary"
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -71,14 +72,19 @@ def blocks(docs: DataFrame) -> DataFrame:
             counts = np.concatenate(sizes)
             first = np.append(0, np.cumsum(counts))
             out_of = np.array(held, dtype=bool)
-            keys, one, tokens = np.unique(stream, return_index=True, return_inverse=True)
+            keys, one, tokens, often = np.unique(stream, return_index=True, return_inverse=True, return_counts=True)
+            # frequent words come first, so most places fit into 16 bits; the rest stand in a list of their own
+            order = np.argsort(-often, kind="stable")
+            place = np.empty(len(order), dtype=np.int32)
+            place[order] = np.arange(len(order))
+            keys, one, tokens = keys[order], one[order], place[tokens]
             learned = np.repeat(~out_of, counts)
             block = part << 32 | number
             columns = [
                 pa.array([block]),
                 pa.array([(part + number) % ROUNDS], pa.int32()),
                 pa.array([ids], pa.list_(pa.int64())),
-                *(pa.array([x.tobytes()], pa.binary()) for x in (out_of, first, tokens.astype(np.int32), keys, kind[one], np.bincount(tokens[learned], minlength=len(keys)).astype(np.int64))),
+                *(pa.array([x.tobytes()], pa.binary()) for x in (out_of, first, np.minimum(tokens, _RARE).astype(np.uint16), tokens[tokens >= _RARE], keys, kind[one], np.bincount(tokens[learned], minlength=len(keys)).astype(np.int64))),
             ]
             for x in (ids, held, streams, kinds, sizes):
                 x.clear()
@@ -118,7 +124,9 @@ class Block:
     @classmethod
     def of(cls, row: dict) -> Block:
         read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
-        return cls(row["doc_ids"], read("held", bool), read("first", np.int64), read("tokens", np.int32), read("buckets", np.uint16))
+        tokens = read("tokens", np.uint16).astype(np.int32)
+        tokens[tokens == _RARE] = read("rare", np.int32)
+        return cls(row["doc_ids"], read("held", bool), read("first", np.int64), tokens, read("buckets", np.uint16))
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """The bucket of each token, and the rows of its features (but the bias, which is row 0)."""
@@ -193,7 +201,7 @@ def _pieces(values: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "salt", "data"])
 
 
-_STREAM = ["doc_ids", "held", "first", "tokens", "buckets"]
+_STREAM = ["doc_ids", "held", "first", "tokens", "rare", "buckets"]
 
 
 def _profiles(made: DataFrame) -> np.ndarray:
