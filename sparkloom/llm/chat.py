@@ -58,8 +58,8 @@ def count_tokens(x: Column) -> Column:
     return F.regexp_count(x, F.lit(r"\w+|[^\w\s]"))
 
 
-def _placed(conversations: DataFrame, tokens) -> DataFrame:
-    """conv, position (ascending, unique), role, text, size, and the tokens before each turn of its conversation."""
+def _ordered(conversations: DataFrame, tokens) -> DataFrame:
+    """The turns in order: conv, part (range partition), position (ascending, unique), role, text and size in tokens."""
     turns = conversations.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(_NO_ID)).alias("conv"),
         F.col("turn").cast("long").alias("turn"),
@@ -69,37 +69,46 @@ def _placed(conversations: DataFrame, tokens) -> DataFrame:
     order = ("conv", F.col("turn").asc_nulls_first(), "role", "text")
     ordered = turns.repartitionByRange(common.partitions(conversations.sparkSession), *order).sortWithinPartitions(*order)
     ordered = ordered.select("conv", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("position"), "role", "text", (tokens(F.col("text")) + F.lit(MARKS)).cast("long").alias("size"))
-    ordered = common.materialize(ordered, "turns")
-    within = ordered.withColumn("inner", F.sum("size").over(Window.partitionBy("conv", "part").orderBy("position")) - F.col("size"))
+    return common.materialize(ordered, "turns")
+
+
+def _placed(ordered: DataFrame, stride: int) -> DataFrame:
+    """Without texts: conv, position, size, is_system, the tokens before each turn, and its window."""
+    turns = ordered.select("conv", "part", "position", "size", (F.col("role") == "system").alias("is_system"))
+    within = turns.withColumn("inner", F.sum("size").over(Window.partitionBy("conv", "part").orderBy("position")) - F.col("size"))
     # one row per conversation and partition
-    parts = ordered.groupBy("conv", "part").agg(F.sum("size").alias("n"))
+    parts = turns.groupBy("conv", "part").agg(F.sum("size").alias("n"))
     parts = parts.select("conv", "part", (F.sum("n").over(Window.partitionBy("conv").orderBy("part")) - F.col("n")).alias("outer"))
-    return within.join(parts, ["conv", "part"]).select("conv", "position", "role", "text", "size", (F.col("inner") + F.col("outer")).alias("before"))
+    before = (F.col("inner") + F.col("outer")).alias("before")
+    placed = within.join(parts, ["conv", "part"]).select("conv", "position", "size", "is_system", before)
+    return placed.withColumn("window", 2 * F.floor(F.col("before") / stride).cast("long") + F.when(F.col("size") > stride, 1).otherwise(0))
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, tokens=count_tokens) -> DataFrame:
     """conv_id, window, formatted, n_repeated (leading turns that are repeated) and loss_spans.
 
-    ``loss_spans`` are (start, length) in characters of ``formatted``, from 1.
+    ``loss_spans`` are (start, length) in characters of ``formatted``, from 1. Which
+    turns a window shows is found without their texts, which are joined to that once.
     """
     stride = budget // 4
-    turns = _placed(conversations, tokens)
-    index = F.floor(F.col("before") / stride).cast("long")
-    turns = common.materialize(turns.withColumn("window", 2 * index + F.when(F.col("size") > stride, 1).otherwise(0)), "placed")
+    ordered = _ordered(conversations, tokens)
+    turns = common.materialize(_placed(ordered, stride), "placed")
     heads = turns.groupBy("conv", "window").agg(F.min("before").alias("begin"))
-    piece = lambda kind: F.struct(F.lit(kind).alias("kind"), "position", "role", "text").alias("piece")
-    own = turns.select("conv", "window", piece(2))
+    use = lambda kind: ("conv", "window", F.lit(kind).alias("kind"), "position")
+    own = turns.select(*use(2))
 
     # preceding turns: the windows that may repeat a turn begin within one stride after it
-    opening = (F.col("before") == 0) & (F.col("role") == "system")
+    opening = (F.col("before") == 0) & F.col("is_system")
     end = F.col("before") + F.col("size")
     earlier = turns.filter(~opening & (F.col("size") <= stride)).withColumn("window", F.explode(F.sequence(2 * F.floor(end / stride).cast("long"), 2 * F.floor((F.col("before") + stride) / stride).cast("long") + 1)))
-    history = earlier.join(heads, ["conv", "window"]).filter((end <= F.col("begin")) & (F.col("before") + stride >= F.col("begin"))).select("conv", "window", piece(1))
+    history = earlier.join(heads, ["conv", "window"]).filter((end <= F.col("begin")) & (F.col("before") + stride >= F.col("begin"))).select(*use(1))
 
-    system = turns.filter(opening).select("conv", "position", "role", "text")
-    retained = heads.filter("begin > 0").select("conv", "window").join(system.hint("merge"), "conv").select("conv", "window", piece(0))
+    system = turns.filter(opening).select("conv", "position")
+    retained = heads.filter("begin > 0").select("conv", "window").join(system.hint("merge"), "conv").select(*use(0))
 
-    gathered = own.unionByName(history).unionByName(retained).groupBy("conv", "window").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    uses = own.unionByName(history).unionByName(retained)
+    shown = uses.join(ordered.select("position", "role", "text").hint("merge"), "position").select("conv", "window", F.struct("kind", "position", "role", "text").alias("piece"))
+    gathered = shown.groupBy("conv", "window").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
     head = lambda p: F.concat(F.lit("<|im_start|>"), _role_out(p["role"]), F.lit("\n"))
     tail = "<|im_end|>\n"
     parts = gathered.select("conv", "window", F.transform("pieces", lambda p: F.struct(head(p).alias("head"), escape(p["text"]).alias("text"), ((p["kind"] == 2) & (p["role"] == "assistant")).alias("loss"))).alias("parts"), F.size(F.filter("pieces", lambda p: p["kind"] < 2)).alias("n_repeated"))
