@@ -48,7 +48,7 @@ from .components import connected
 NGRAM = 4
 THRESHOLD = 85
 #: Members of a block or cluster that one task takes.
-CHUNK = 512
+CHUNK = 128
 FANOUT = 8
 #: Node pairs looked at together.
 FRONT = 1 << 13
@@ -103,13 +103,18 @@ class SignatureTree:
         return ((100 + threshold) * overlap >= threshold * (low[a] + low[b])) & (100 * overlap >= threshold * np.maximum(low[a], low[b]))
 
 
-def links(sizes: np.ndarray, bitmaps: list[np.ndarray], threshold: int, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the texts of a group (of the possible ones if ``exact`` is None)."""
+def links(sizes: np.ndarray, bitmaps: list[np.ndarray], threshold: int, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the texts of a group (of the possible ones if ``exact`` is None).
+
+    With two sides, only links between them are looked for.
+    """
     n = len(sizes)
+    if side is None or (side == side[0]).all():
+        side = np.arange(n)
     length = min(len(x) for x in bitmaps)
     folded = np.array([fold(x, length) for x in bitmaps])
     order = np.lexsort((*folded.T[::-1][-2:], sizes))
-    tree = SignatureTree(sizes[order], folded[order])
+    tree, side = SignatureTree(sizes[order], folded[order]), side[order]
     label = np.arange(n)
     forest: list[tuple[int, int]] = []
 
@@ -136,7 +141,7 @@ def links(sizes: np.ndarray, bitmaps: list[np.ndarray], threshold: int, exact: C
             a, b = a[:FRONT], b[:FRONT]
         if level == 0:
             labels = flat()
-            open_pairs = (a != b) & (labels[a] != labels[b])
+            open_pairs = (side[a] != side[b]) & (labels[a] != labels[b])
             a, b = a[open_pairs], b[open_pairs]
         elif level == 1:
             labels = flat()
@@ -344,31 +349,31 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _cells(members: DataFrame, group: str, member: str, chunk: int) -> DataFrame:
-    """Adds a column cell: the group, or a pair of chunks of a group of more than ``chunk`` members."""
+    """Adds the cell, a group or a pair of chunks of a group of more than ``chunk`` members, and the side in it."""
     counts = members.groupBy(group).agg(F.count("*").alias("members"))
     large = common.materialize(counts.filter(F.col("members") > chunk), "large")
     counted = common.join_small(members, large, group, "left")
     n = F.ceil(F.coalesce("members", F.lit(1)) / F.lit(chunk)).cast("int")
     own = F.pmod(F.xxhash64(member), n)
     cell = counted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return cell.withColumn("cell", F.when(n == 1, F.col(group)).otherwise(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")))).drop("own", "other", "members")
+    return cell.withColumn("cell", F.when(n == 1, F.col(group)).otherwise(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")))).withColumnRenamed("own", "side").drop("other", "members")
 
 
 def _forest(rows: DataFrame, threshold: int, ngram: int | None) -> DataFrame:
-    """Edges (a, b) of each cell's forest. rows: cell, node, and text (or n and map if ``ngram`` is None)."""
+    """Edges (a, b) of each cell's forest. rows: cell, node, side, and text (or n and map if ``ngram`` is None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in _groups(batches):
-            nodes = group.column("node").to_numpy()
+            nodes, side = group.column("node").to_numpy(), group.column("side").to_numpy()
             if len(nodes) < 2:
                 continue
             if ngram is None:
                 maps = [np.frombuffer(x, dtype=np.uint64) for x in group.column("map").to_pylist()]
-                found = links(group.column("n").to_numpy(), maps, threshold, None)
+                found = links(group.column("n").to_numpy(), maps, threshold, None, side)
             else:
                 texts = [values[x:y] for _, _, values, first in sets(group.column("text").combine_chunks(), ngram) for x, y in zip(first[:-1], first[1:], strict=True)]
-                found = links(np.array([len(x) for x in texts], dtype=np.int64), [bitmap(x) for x in texts], threshold, exact_counter(texts, threshold))
+                found = links(np.array([len(x) for x in texts], dtype=np.int64), [bitmap(x) for x in texts], threshold, exact_counter(texts, threshold), side)
             out += [(int(nodes[i]), int(nodes[j])) for i, j in found]
             if len(out) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out]), pa.array([e[1] for e in out])], names=["a", "b"])
@@ -396,7 +401,7 @@ def join(docs: DataFrame, ngram: int = NGRAM, threshold: int = THRESHOLD, chunk:
     blocks = common.materialize(rows.repartition(n, "part").sortWithinPartitions("part", "doc_id").mapInArrow(_shared, "block long, doc_id long"), "blocks")
     members = blocks.distinct().join(node_of.hint("merge"), "doc_id").select("block", "node").distinct()
     members = common.materialize(members, "members")
-    cells = _cells(members, "block", "node", chunk).join(nodes.select("node", F.col("n_shingles").alias("n"), "map").hint("merge"), "node").select("cell", "node", "n", "map")
+    cells = _cells(members, "block", "node", chunk).join(nodes.select("node", F.col("n_shingles").alias("n"), "map").hint("merge"), "node").select("cell", "node", "side", "n", "map")
     clusters = common.materialize(connected(_forest(cells, threshold, None)), "clusters")
 
     # their links, inside clusters that no link leaves
@@ -416,4 +421,4 @@ def _cells_of_texts(chosen: DataFrame, clusters: DataFrame, chunk: int) -> DataF
     n = F.ceil(F.coalesce("members", F.lit(1)) / F.lit(chunk)).cast("int")
     counted = common.join_small(chosen, large, "component", "left").withColumn("own", F.pmod(F.xxhash64("node"), n)).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     cell = F.when(n == 1, F.col("component")).otherwise(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")))
-    return counted.select(cell.alias("cell"), "node", "text")
+    return counted.select(cell.alias("cell"), "node", F.col("own").alias("side"), "text")
