@@ -21,7 +21,9 @@ text is cut for its own band and the next. Texts that share a part form blocks;
 trees of the blocks, over bitmaps only, leave candidate edges, a forest per block;
 their components are clusters that no link leaves. In each cluster, a tree over the
 texts themselves gives the links, again as a forest, and the components of those
-are the result. Blocks and clusters beyond ``CHUNK`` members are cut into chunks, and
+are the result. ``join`` with ``count`` and ``pairs`` find all links instead of a
+forest: the tree over the texts is then traversed without regard to what is connected,
+and equal sets, which are one node, count as often as there are documents of them. Blocks and clusters beyond ``CHUNK`` members are cut into chunks, and
 each pair of chunks is a task of its own, so no group is gathered in one task.
 
 Equal sets are one node from the start (by two 64-bit hashes and the size).
@@ -103,10 +105,11 @@ class SignatureTree:
         return ((100 + threshold) * overlap >= threshold * (low[a] + low[b])) & (100 * overlap >= threshold * np.maximum(low[a], low[b]))
 
 
-def links(sizes: np.ndarray, bitmaps: list[np.ndarray], threshold: int, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(sizes: np.ndarray, bitmaps: list[np.ndarray], threshold: int, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, side: np.ndarray | None = None, every: bool = False) -> list[tuple[int, int]] | np.ndarray:
     """A spanning forest of the links between the texts of a group (of the possible ones if ``exact`` is None).
 
-    With two sides, only links between them are looked for.
+    With two sides, only links between them are looked for. With ``every``, all links are
+    given, as the rows of an array.
     """
     n = len(sizes)
     if side is None or (side == side[0]).all():
@@ -117,6 +120,7 @@ def links(sizes: np.ndarray, bitmaps: list[np.ndarray], threshold: int, exact: C
     tree, side = SignatureTree(sizes[order], folded[order]), side[order]
     label = np.arange(n)
     forest: list[tuple[int, int]] = []
+    found = [np.zeros((0, 2), dtype=np.int64)]
 
     def root(x: int) -> int:
         while label[x] != x:
@@ -141,9 +145,9 @@ def links(sizes: np.ndarray, bitmaps: list[np.ndarray], threshold: int, exact: C
             a, b = a[:FRONT], b[:FRONT]
         if level == 0:
             labels = flat()
-            open_pairs = (side[a] != side[b]) & (labels[a] != labels[b])
+            open_pairs = (side[a] != side[b]) & (every | (labels[a] != labels[b]))
             a, b = a[open_pairs], b[open_pairs]
-        elif level == 1:
+        elif level == 1 and not every:
             labels = flat()
             low, high = np.minimum.reduceat(labels, starts), np.maximum.reduceat(labels, starts)
             open_pairs = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
@@ -163,21 +167,24 @@ def links(sizes: np.ndarray, bitmaps: list[np.ndarray], threshold: int, exact: C
         for k in range(0, len(a), step):
             labels = flat()
             x, y = a[k : k + step], b[k : k + step]
-            fresh = labels[x] != labels[y]
+            fresh = every | (labels[x] != labels[y])
             x, y = x[fresh], y[fresh]
             if exact is not None and len(x):
                 linked = exact(order[x], order[y])
                 x, y = x[linked], y[linked]
+            if every:
+                found.append(np.column_stack([order[x], order[y]]))
+                continue
             for p, q in zip(x.tolist(), y.tolist(), strict=True):
                 rp, rq = root(p), root(q)
                 if rp != rq:
                     label[max(rp, rq)] = min(rp, rq)
                     forest.append((int(order[p]), int(order[q])))
-    return forest
+    return np.concatenate(found) if every else forest
 
 
-def exact_counter(texts: list[np.ndarray], threshold: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Tells by exact set sizes which of the given pairs link."""
+def overlap_counter(texts: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Counts exactly what the sets of the given pairs share."""
     sizes = np.array([len(x) for x in texts], dtype=np.int64)
     values, inverse, counts = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
     shared = np.cumsum(counts > 1) - 1  # values of one text only are in no overlap
@@ -188,9 +195,14 @@ def exact_counter(texts: list[np.ndarray], threshold: int) -> Callable[[np.ndarr
         keep = counts[inverse] > 1
         bit = shared[inverse[keep]]
         np.bitwise_or.at(maps, (rows[keep], bit >> 6), _U64(1) << (bit & 63).astype(np.uint64))
-        overlap = lambda a, b: np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64)
-    else:
-        overlap = lambda a, b: np.array([len(np.intersect1d(texts[i], texts[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], dtype=np.int64)
+        return lambda a, b: np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64)
+    return lambda a, b: np.array([len(np.intersect1d(texts[i], texts[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], dtype=np.int64)
+
+
+def exact_counter(texts: list[np.ndarray], threshold: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Tells by exact set sizes which of the given pairs link."""
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    overlap = overlap_counter(texts)
 
     def check(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         both = overlap(a, b)
@@ -385,8 +397,63 @@ def _forest(rows: DataFrame, threshold: int, ngram: int | None) -> DataFrame:
     return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, ngram: int = NGRAM, threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every row."""
+def _components(n: int, pairs: np.ndarray) -> np.ndarray:
+    """For each of n members the smallest one that is connected to it by pairs."""
+    label, before = np.arange(n), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        np.minimum.at(label, pairs[:, 0], label[pairs[:, 1]])
+        np.minimum.at(label, pairs[:, 1], label[pairs[:, 0]])
+        label = label[label]
+    return label
+
+
+def _every_link(rows: DataFrame, threshold: int, ngram: int, emit: bool) -> DataFrame:
+    """All links of the cells. rows: cell, node, side, text, copies (the documents of a node).
+
+    With ``emit``, (a, b, shared) of every link. Without, what follows the number of
+    members: (a, b, 0) of a forest, and (node, node, the documents it links with).
+    """
+    name = "shared" if emit else "links"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(x)) for x in zip(*held, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", name])
+
+        for group in _groups(batches):
+            nodes, side, copies = (group.column(c).to_numpy() for c in ("node", "side", "copies"))
+            if len(nodes) < 2:
+                continue
+            texts = [values[x:y] for _, _, values, first in sets(group.column("text").combine_chunks(), ngram) for x, y in zip(first[:-1], first[1:], strict=True)]
+            found = links(np.array([len(x) for x in texts], dtype=np.int64), [bitmap(x) for x in texts], threshold, exact_counter(texts, threshold), side, every=True)
+            if not len(found):
+                continue
+            i, j = found.T
+            if emit:
+                a, b, n = nodes[i], nodes[j], overlap_counter(texts)(i, j)
+            else:
+                degree = np.zeros(len(nodes), dtype=np.int64)
+                np.add.at(degree, i, copies[j])
+                np.add.at(degree, j, copies[i])
+                label = _components(len(nodes), found)
+                out, own = np.flatnonzero(label != np.arange(len(nodes))), np.flatnonzero(degree)
+                a, b, n = np.append(nodes[out], nodes[own]), np.append(nodes[label[out]], nodes[own]), np.append(np.zeros(len(out), np.int64), degree[own])
+            held.append((a, b, n))
+            if len(a) > 4096 or len(held) >= 512:
+                yield flush()
+        if held:
+            yield flush()
+
+    n = common.partitions(rows.sparkSession)
+    return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, f"a long, b long, {name} long")
+
+
+def _prepared(docs: DataFrame, ngram: int, threshold: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The texts, their description, the nodes of doc_ids, and the clusters that no link leaves."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = common.materialize(_described(texts, ngram), "described")
@@ -402,23 +469,66 @@ def join(docs: DataFrame, ngram: int = NGRAM, threshold: int = THRESHOLD, chunk:
     members = blocks.distinct().join(node_of.hint("merge"), "doc_id").select("block", "node").distinct()
     members = common.materialize(members, "members")
     cells = _cells(members, "block", "node", chunk).join(nodes.select("node", F.col("n_shingles").alias("n"), "map").hint("merge"), "node").select("cell", "node", "side", "n", "map")
-    clusters = common.materialize(connected(_forest(cells, threshold, None)), "clusters")
+    return texts, described, node_of, common.materialize(connected(_forest(cells, threshold, None)), "clusters")
+
+
+def join(docs: DataFrame, ngram: int = NGRAM, threshold: int = THRESHOLD, chunk: int = CHUNK, count: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every row.
 
-    # their links, inside clusters that no link leaves
-    chosen = common.join_small(texts.withColumnRenamed("doc_id", "node"), clusters, "node").dropDuplicates(["node"])
-    cells = _cells_of_texts(chosen, clusters, chunk)
-    components = common.materialize(connected(_forest(cells, threshold, ngram)), "components")
+    With ``count`` also n_links, the number of other documents that the row's document links with.
+    """
+    texts, described, node_of, clusters = _prepared(docs, ngram, threshold, chunk)
+    if count:
+        copies = common.materialize(node_of.groupBy("node").agg(F.count("*").alias("copies")), "copies")
+        found = common.materialize(_every_link(_leaf_cells(texts, clusters, chunk, copies), threshold, ngram, False), "links")
+        edges = found.filter("a <> b").select("a", "b")
+    else:
+        edges = _forest(_leaf_cells(texts, clusters, chunk), threshold, ngram)
+    components = common.materialize(connected(edges), "components")
 
     label = node_of.join(components, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     label = label.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return described.select("doc_id", "n_shingles").join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
+    if count:
+        others = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        degree = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        degree = node_of.join(degree, "node").groupBy("doc_id").agg(F.max("n_links").alias("n_links"))
+        label = label.join(degree, "doc_id")
+        columns.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return described.select("doc_id", "n_shingles").join(label, "doc_id", "left").select(*columns)
 
 
-def _cells_of_texts(chosen: DataFrame, clusters: DataFrame, chunk: int) -> DataFrame:
+def pairs(docs: DataFrame, ngram: int = NGRAM, threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """doc_a, doc_b, shared (n-grams) and similarity of every two documents that link, doc_a < doc_b.
+
+    The rows are as many as the links: m(m - 1) / 2 for m copies.
+    """
+    texts, described, node_of, clusters = _prepared(docs, ngram, threshold, chunk)
+    found = _every_link(_leaf_cells(texts, clusters, chunk, node_of.groupBy("node").agg(F.count("*").alias("copies"))), threshold, ngram, True)
+    sizes = node_of.select("node").distinct().join(described.select(F.col("doc_id").alias("node"), "n_shingles"), "node").dropDuplicates(["node"])
+    same = sizes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("n_shingles").alias("shared"))
+    found = found.unionByName(same)
+    for end in ("a", "b"):
+        found = found.join(sizes.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}")), end)
+        found = found.join(node_of.select(F.col("node").alias(end), F.col("doc_id").alias(f"doc_{end}")), end)
+    # two nodes are met in one order only, so the documents are put in theirs
+    found = found.filter("(a = b AND doc_a < doc_b) OR (a <> b AND doc_a <> doc_b)")
+    similarity = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
+    return found.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "shared", similarity.alias("similarity"))
+
+
+def _leaf_cells(texts: DataFrame, clusters: DataFrame, chunk: int, copies: DataFrame | None = None) -> DataFrame:
+    """The cells of the clusters with texts, and the number of documents of a node if ``copies`` are given."""
+    counted = clusters if copies is None else common.materialize(clusters.join(copies, "node"), "counted")
+    chosen = common.join_small(texts.withColumnRenamed("doc_id", "node"), counted, "node").dropDuplicates(["node"])
+    return _cells_of_texts(chosen, clusters, chunk, *(["copies"] if copies is not None else []))
+
+
+def _cells_of_texts(chosen: DataFrame, clusters: DataFrame, chunk: int, *more: str) -> DataFrame:
     """Cells as by ``_cells``, with the sizes of clusters counted without the texts."""
     counts = clusters.groupBy("component").agg(F.count("*").alias("members"))
     large = common.materialize(counts.filter(F.col("members") > chunk), "large")
     n = F.ceil(F.coalesce("members", F.lit(1)) / F.lit(chunk)).cast("int")
     counted = common.join_small(chosen, large, "component", "left").withColumn("own", F.pmod(F.xxhash64("node"), n)).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     cell = F.when(n == 1, F.col("component")).otherwise(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")))
-    return counted.select(cell.alias("cell"), "node", F.col("own").alias("side"), "text")
+    return counted.select(cell.alias("cell"), "node", F.col("own").alias("side"), "text", *more)

@@ -55,6 +55,10 @@ def op1_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(common.table(spark, sf_dir, "documents"), 4, 85)
 
 
+def op1_signature_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(common.table(spark, sf_dir, "documents"), 4, 85, count=True)
+
+
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(common.table(spark, sf_dir, "documents"), 8)
 
@@ -68,6 +72,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_signature_tree_join": op1_signature_tree_join,
+    "op1_signature_tree_links": op1_signature_tree_links,
     "op2_minimax_shards": op2_minimax_shards,
     "op3_hashed_maxent": op3_hashed_maxent,
     "op4_greedy_string_tiling": op4_greedy_string_tiling,
@@ -100,6 +105,29 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
     """,
+    "op1_signature_tree_links": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents
+        ), s AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+          FROM w
+        ), n AS (
+          SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), p AS (
+          SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+        ), l AS (
+          SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+        ), e AS (
+          SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+        ), d AS (
+          SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x
+        ), r AS (
+          SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x
+        )
+        SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, CAST(coalesce(any_value(d.n_links), 0) AS BIGINT) AS n_links
+        FROM r LEFT JOIN n USING (doc_id) LEFT JOIN d USING (doc_id) GROUP BY r.doc_id
+    """,
     "op10_chat_windows": r"""
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (

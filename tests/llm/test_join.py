@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import components, ngram_join
 
@@ -72,8 +73,44 @@ def test_families_and_chunks(spark):
     check(df, 4, 85, chunk=7)  # groups cut into many cells
 
 
+def brute_links(rows, ngram, threshold):
+    sets = {}
+    for d, text in rows:
+        w = words(text)
+        if d is not None:
+            sets[d] = frozenset(tuple(w[i : i + ngram]) for i in range(len(w) - ngram + 1)) if len(w) >= ngram else frozenset([tuple(w)] if w else [])
+    out = {}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= threshold * (len(sets[a]) + len(sets[b]) - both):
+                out[a, b] = (both, both / (len(sets[a]) + len(sets[b]) - both))
+    return sets, out
+
+
+@pytest.mark.parametrize("chunk", [7, 128])
+def test_every_link_is_counted(spark, chunk):
+    """Near copies, exact copies of them, and chains: all pairs, not only a forest."""
+    rng = random.Random(9)
+    base = [f"v{k}" for k in range(60)]
+    rows = [(1000 + k, " ".join(base[:-1] + [f"y{k // 2}"])) for k in range(40)]
+    rng.shuffle(rows)
+    near = spark.createDataFrame(rows, "doc_id long, text string")
+    df = documents(spark).select("doc_id", "text").unionByName(family(spark, 6, 60).withColumn("doc_id", F.col("doc_id") + 2000)).unionByName(near)
+    sets, want = brute_links([(r["doc_id"], r["text"]) for r in df.collect()], 4, 85)
+    degree = collections.Counter(x for pair in want for x in pair)
+    got = ngram_join.join(df, 4, 85, chunk, count=True).collect()
+    assert len(got) == df.count() and max(degree.values()) >= 39
+    assert all(r["n_links"] == (None if r["doc_id"] is None else degree[r["doc_id"]]) for r in got)
+    plain = ngram_join.join(df, 4, 85, chunk).collect()
+    assert sorted(map(str, plain)) == sorted(str(r).rsplit(", n_links", 1)[0] + ")" for r in got)
+    found = {(r["doc_a"], r["doc_b"]): (r["shared"], r["similarity"]) for r in ngram_join.pairs(df, 4, 85, chunk).collect()}
+    assert found == want
+
+
 def test_empty(spark):
     assert ngram_join.join(empty(spark)).collect() == []
+    assert ngram_join.join(empty(spark), count=True).collect() == []
 
 
 def test_tree_finds_every_component():
