@@ -51,3 +51,7 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_arithmetic_runs_over_all_rows(spark):
+    assert entry.queries()["arithmetic"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
