@@ -15,8 +15,8 @@ from sparkloom.llm import bpe, common, decontaminate, langid, ngram_join, qualit
 #: The near-duplicate stage takes five words and a similarity of 0.8.
 NGRAM, THRESHOLD = 5, 80
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Documents are rejected below this score: under the classifier's own 0.3, since a clean document lost is worse.
-QUALITY = 0.2
+#: Documents are rejected below this score, the classifier's own.
+QUALITY = quality.KEEP
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from sparkloom.llm import bpe, common, ngram_join
+from sparkloom.llm import bpe, common, ngram_join, quality
 from sparkloom.llm import queries as Q
 
 from ..conftest import DATA
@@ -58,3 +58,11 @@ def test_stages_take_the_columns_they_get(spark):
     docs = common.table(spark, SF, "documents").limit(30).withColumn("score", common.F.lit(1))
     assert corpus_pipeline.near_duplicates(spark, docs, SF).columns == docs.columns
     assert ngram_join.join(docs).count() == 30 and bpe.digests(docs, Q._tokenizer("byte_bpe_multi_50k.tiktoken")).count() == 30
+
+
+def test_pipeline_rejects_by_the_classifiers_law(spark):
+    folder = f"{DATA}/sf0.01"
+    docs = common.table(spark, folder, "documents")
+    net = quality.train(docs, common.table(spark, folder, "labels"), common.F.lit(True))
+    want = {r["doc_id"] for r in quality.score(docs, net).filter(common.F.col("score") >= quality.KEEP).collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.quality_filter(spark, docs, folder).collect()} == want
