@@ -88,6 +88,54 @@ def brute_links(rows, ngram, threshold):
     return sets, out
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """No link is lost, whatever the order of rows: all rows of a doc_id belong together."""
+    one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(50)]
+    rows = [(5, one), (5, two), (7, [*one[:-1], "x"]), (8, [*two[:-1], "y"]), (9, ["z"] * 30), (5, one)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    for these in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(these, "doc_id long, text string").repartition(3)
+        for count in (False, True):
+            got = [r.asDict() for r in ngram_join.join(df, 4, 85, count=count).collect()]
+            assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (7, 5), (8, 5), (9, 9)}
+            assert sorted((r["doc_id"], r["n_shingles"]) for r in got) == [(5, 47), (5, 57), (5, 57), (7, 57), (8, 47), (9, 1)]
+        assert {(r["doc_id"], r["n_links"]) for r in got} == {(5, 1), (7, 1), (8, 1), (9, 0)}
+
+
+def test_rounds_join_chunks_and_outliers(spark):
+    """A group of many chunks: near copies of one text, members linked through one other only, and strangers that share its rarest words."""
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(80)]
+    rows = []
+    for k in range(60):
+        text = list(base)
+        text[rng.randrange(80)] = f"e{k}"
+        rows.append(text)
+    for k in range(12):  # a chain away from the base
+        base = [*base[1:], f"c{k}"]
+        rows.append(base)
+    rows += [[*[f"b{k}" for k in range(20)], *[f"s{n}-{k}" for k in range(30)]] for n in range(15)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    for chunk in (4, 11, 512):
+        check(df, 4, 85, chunk=chunk)
+        check(df, 4, 85, chunk=chunk, count=True)
+
+
+def test_prefixes_share_a_key():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 9, 1 << ngram_join.SKETCH_BITS).astype(np.uint64)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 60)), dtype=np.uint64))
+        b = np.unique(np.append(rng.permutation(a)[int(rng.integers(0, 8)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 8)), dtype=np.uint64)))
+        both = len(np.intersect1d(a, b))
+        first = np.array([0, len(a), len(a) + len(b)])
+        row, at = ngram_join.rare_first(np.append(a, b), first, counts, 85)
+        keys = np.append(a, b)[at]
+        if both and 100 * both >= 85 * (len(a) + len(b) - both):
+            assert np.intersect1d(keys[row == 0], keys[row == 1]).size
+
+
 @pytest.mark.parametrize("chunk", [7, 128])
 def test_every_link_is_counted(spark, chunk):
     """Near copies, exact copies of them, and chains: all pairs, not only a forest."""
