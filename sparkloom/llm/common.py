@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
@@ -32,18 +32,28 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def materialize(df: DataFrame, name: str = "step", options: dict | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", options: dict | None = None, **measures) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     This cuts the lineage, so a lost executor costs no recomputation of what came
     before, and what depends on the order or placement of rows is fixed from here
-    on. ``release`` deletes what a session has written.
+    on. ``release`` deletes what a session has written. The number of rows and the
+    values of further aggregates are taken on the way (``measured``).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(value.alias(key) for key, value in measures.items())).write.options(**(options or {})).parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.measured = seen.get
+    return out
+
+
+def is_empty(df: DataFrame) -> bool:
+    """Whether a frame has no rows; of a materialized one this is known."""
+    measured = getattr(df, "measured", {})
+    return not measured["rows"] if "rows" in measured else df.isEmpty()
 
 
 def release(spark: SparkSession) -> None:
@@ -63,7 +73,8 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", rows:
 
     ``right`` should be cheap to count (a materialized frame).
     """
-    if right.limit(rows + 1).count() <= rows:
+    measured = getattr(right, "measured", {})
+    if (measured["rows"] if "rows" in measured else right.limit(rows + 1).count()) <= rows:
         return left.join(F.broadcast(right), on, how)
     return left.join(right.hint("merge"), on, how)
 

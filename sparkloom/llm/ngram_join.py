@@ -485,6 +485,15 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _stars(pairs: np.ndarray) -> np.ndarray:
+    """Edges from the members of each component of pairs to its smallest one."""
+    names, place = np.unique(pairs, return_inverse=True)
+    place = place.reshape(pairs.shape)
+    least = _components(len(names), place[:, 0], place[:, 1])
+    own = np.flatnonzero(least != np.arange(len(names)))
+    return np.column_stack([names[own], names[least[own]]])
+
+
 def _candidates(cells: DataFrame, threshold: int) -> DataFrame:
     """Edges (a, b) between labels that connect what may link, by bitmaps. cells: cell, node, side, label, n, map."""
 
@@ -504,8 +513,7 @@ def _candidates(cells: DataFrame, threshold: int) -> DataFrame:
                 bitmaps = [raw[offs[k] : offs[k + 1]].view(np.uint64) for k in range(x, x + m)]
                 edges = np.array(links(sizes[x : x + m], bitmaps, threshold, None, side[x : x + m], labels=label[x : x + m]), dtype=np.int64).reshape(-1, 2)
                 found.append(label[x + edges])
-            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            fresh = [p for p in map(tuple, pairs.tolist()) if p not in done]
+            fresh = [p for p in map(tuple, _stars(np.concatenate(found)).tolist()) if p not in done]
             if len(done) < 500_000:  # only spares repeats, which are made distinct later
                 done.update(fresh)
             if fresh:
@@ -551,8 +559,7 @@ def _exact(cells: DataFrame, threshold: int, what: str) -> DataFrame:
             if what == "pairs":
                 out = [nodes[a], nodes[b], np.concatenate(both)]
             else:
-                edge = np.unique(np.sort(np.concatenate(edges), axis=1), axis=0)
-                edge = edge[edge[:, 0] != edge[:, 1]]
+                edge = _stars(np.concatenate(edges))
                 degree = np.bincount(a, copies[b], len(nodes)) + np.bincount(b, copies[a], len(nodes)) if what == "count" else np.zeros(1)
                 own = np.flatnonzero(degree)
                 out = [np.append(edge[:, 0], nodes[own]), np.append(edge[:, 1], nodes[own]), np.append(np.zeros(len(edge), np.int64), degree[own].astype(np.int64))]
@@ -604,12 +611,12 @@ def _by_rounds(members: DataFrame, chunk: int, edges_of: Callable[[DataFrame], D
     large = common.materialize(_counted(members, chunk).filter("chunks > 1"), "large")
     found = connected(edges_of(_first_cells(members, large)))
     labels = common.materialize(found.select("node", F.col("component").alias("label")), "labels")
-    if large.isEmpty():
+    if common.is_empty(large):
         return labels
 
     big = common.materialize(common.join_small(members, large.select("group"), "group"), "big")
     several = _open(big, labels)
-    if several.isEmpty():
+    if common.is_empty(several):
         return labels
     few = several.groupBy("group", "label", F.pmod(F.xxhash64("node"), F.lit(REPRESENTATIVES)).alias("k")).agg(F.min_by("node", F.struct("weight", "node")).alias("node"), F.min("weight").alias("weight"))
     few = common.materialize(few.drop("k"), "few")
@@ -618,7 +625,7 @@ def _by_rounds(members: DataFrame, chunk: int, edges_of: Callable[[DataFrame], D
     labels = _relabelled(labels, edges_of(second))
 
     several = _open(several.drop("label"), labels)
-    if several.isEmpty():
+    if common.is_empty(several):
         return labels
     return _relabelled(labels, edges_of(_others(several, chunk)))
 
@@ -664,7 +671,7 @@ class _Prepared:
         self.rows = described.filter("piece IS NULL").select("doc_id", "n_shingles", "node")
         real = described.filter("doc_id IS NOT NULL AND n_shingles > 0")
         ids = real.groupBy("node", "doc_id").agg(F.any_value("n_shingles").alias("n"), F.any_value("map").alias("map"))
-        self.nodes = common.materialize(ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("map").alias("map")), "nodes")
+        self.nodes = common.materialize(ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("map").alias("map")), "nodes", most=F.max("copies"))
 
         n = common.partitions(docs.sparkSession)
         keys = _keys(texts.filter("doc_id IS NOT NULL"), ngram, threshold, _sketch(described))
@@ -684,10 +691,12 @@ class _Prepared:
         filled = cells.join(self.values.hint("merge"), "node").select("cell", "node", "side", "label", "copies", "values")
         return _exact(filled, self.threshold, what)
 
-    def same_ids(self) -> DataFrame:
-        """Edges between the sets of a doc_id that several rows with different sets have."""
+    def same_ids(self) -> DataFrame | None:
+        """Edges between the sets of a doc_id that several rows with different sets have; None if there are none."""
         real = self.rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
         several = real.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("doc_id", "a")
+        if several.isEmpty():
+            return None
         several = common.materialize(several, "several")
         return common.materialize(common.join_small(real, several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"), "same_ids")
 
@@ -709,9 +718,9 @@ def _values(docs: DataFrame, ngram: int) -> DataFrame:
 
 def _by_node(rows: DataFrame, told: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows joined with what is told of their node; the nodes of very many documents are broadcast, as they are few."""
-    often = common.materialize(told.join(nodes.filter(F.col("copies") > HOT_KEY).select("node"), "node"), "often")
-    if often.isEmpty():
+    if (nodes.measured["most"] or 0) <= HOT_KEY:
         return rows.join(told, "node", "left")
+    often = common.materialize(told.join(nodes.filter(F.col("copies") > HOT_KEY).select("node"), "node"), "often")
     names = [c for c in told.columns if c != "node"]
     found = common.join_small(rows, often.select("node", *(F.col(c).alias(f"often_{c}") for c in names), F.lit(True).alias("often")), "node", "left")
     key = F.when(F.col("often").isNull(), F.col("node"))  # hot rows have no key in the second join
@@ -729,14 +738,14 @@ def join(docs: DataFrame, ngram: int = NGRAM, threshold: int = THRESHOLD, chunk:
     if count:
         inside = common.materialize(own.exact(_first_cells(own.members, own.large), "count"), "links")
         labels = common.materialize(connected(inside.filter("a <> b").select("a", "b")).select("node", F.col("component").alias("label")), "labels")
-        if not own.large.isEmpty():
+        if not common.is_empty(own.large):
             across = common.materialize(own.exact(_cross(own.members, own.large, labels), "count"), "links")
             labels = _relabelled(labels, across.filter("a <> b").select("a", "b"))
             inside = inside.unionByName(across)
         others = inside.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     else:
         labels = _by_rounds(own.members, chunk, lambda cells: own.exact(cells, "forest").select("a", "b"))
-    if not (repeated := own.same_ids()).isEmpty():
+    if (repeated := own.same_ids()) is not None:
         labels = _relabelled(labels, _labelled_edges(repeated, labels))
     nodes = own.nodes.select("node", "doc_id", "copies")
     named = nodes.join(labels, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"))
@@ -748,7 +757,7 @@ def join(docs: DataFrame, ngram: int = NGRAM, threshold: int = THRESHOLD, chunk:
     told = common.materialize(told, "told")
     real = F.col("doc_id").isNotNull()
     rows = own.rows.withColumn("node", F.when(real & (F.col("n_shingles") > 0), F.col("node")))
-    found = _by_node(rows, told, nodes)
+    found = _by_node(rows, told, own.nodes)
     columns = ["doc_id", "n_shingles", F.when(real, F.coalesce("component_id", "doc_id")).alias("component_id")]
     if count:
         columns.append(F.when(real, F.coalesce("n_links", F.lit(0))).alias("n_links"))

@@ -52,10 +52,6 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(common.table(spark, sf_dir, "documents"), 4, 85)
-
-
-def op1_signature_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(common.table(spark, sf_dir, "documents"), 4, 85, count=True)
 
 
@@ -72,7 +68,6 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_signature_tree_join": op1_signature_tree_join,
-    "op1_signature_tree_links": op1_signature_tree_links,
     "op2_minimax_shards": op2_minimax_shards,
     "op3_hashed_maxent": op3_hashed_maxent,
     "op4_greedy_string_tiling": op4_greedy_string_tiling,
@@ -89,44 +84,31 @@ ORACLE_SQL: dict[str, str] = {
         WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
           FROM documents
-        ), s AS (
-          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+        ), g AS (
+          SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g
           FROM w
-        ), n AS (
-          SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
-        ), p AS (
-          SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
-        ), l AS (
-          SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
-        ), e AS (
-          SELECT x, y FROM l UNION ALL SELECT y, x FROM l
         ), r AS (
-          SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x
-        )
-        SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
-    """,
-    "op1_signature_tree_links": r"""
-        WITH RECURSIVE w AS (
-          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-          FROM documents
+          SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT doc_id, g FROM g WHERE doc_id IS NOT NULL)
         ), s AS (
-          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-          FROM w
-        ), n AS (
-          SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+          SELECT r, unnest(g) AS s FROM r
         ), p AS (
-          SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+          SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r
         ), l AS (
-          SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+          SELECT x, y FROM p JOIN r a ON a.r = x JOIN r b ON b.r = y WHERE 100 * c >= 85 * (len(a.g) + len(b.g) - c)
         ), e AS (
           SELECT x, y FROM l UNION ALL SELECT y, x FROM l
         ), d AS (
-          SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x
-        ), r AS (
-          SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x
+          SELECT x AS r, count(*) AS n_links FROM e GROUP BY x
+        ), i AS (
+          SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM e JOIN r a ON a.r = e.x JOIN r b ON b.r = e.y
+        ), t AS (
+          SELECT DISTINCT doc_id, doc_id AS other FROM r UNION SELECT t.doc_id, i.y FROM t JOIN i ON t.other = i.x
+        ), c AS (
+          SELECT doc_id, min(other) AS component_id FROM t GROUP BY doc_id
         )
-        SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, CAST(coalesce(any_value(d.n_links), 0) AS BIGINT) AS n_links
-        FROM r LEFT JOIN n USING (doc_id) LEFT JOIN d USING (doc_id) GROUP BY r.doc_id
+        SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, component_id,
+               CASE WHEN g.doc_id IS NOT NULL THEN CAST(coalesce(n_links, 0) AS BIGINT) END AS n_links
+        FROM g LEFT JOIN c ON c.doc_id = g.doc_id LEFT JOIN r ON r.doc_id = g.doc_id AND r.g = g.g LEFT JOIN d ON d.r = r.r
     """,
     "op10_chat_windows": r"""
         WITH c AS (

@@ -93,13 +93,12 @@ def test_repeated_ids_with_other_texts(spark):
     one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(50)]
     rows = [(5, one), (5, two), (7, [*one[:-1], "x"]), (8, [*two[:-1], "y"]), (9, ["z"] * 30), (5, one)]
     rows = [(d, " ".join(w)) for d, w in rows]
-    for these in (rows, rows[::-1], rows[3:] + rows[:3]):
+    for these, count in ((rows, True), (rows[::-1], True), (rows[3:] + rows[:3], False)):
         df = spark.createDataFrame(these, "doc_id long, text string").repartition(3)
-        for count in (False, True):
-            got = [r.asDict() for r in ngram_join.join(df, 4, 85, count=count).collect()]
-            assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (7, 5), (8, 5), (9, 9)}
-            assert sorted((r["doc_id"], r["n_shingles"]) for r in got) == [(5, 47), (5, 57), (5, 57), (7, 57), (8, 47), (9, 1)]
-        assert {(r["doc_id"], r["n_links"]) for r in got} == {(5, 1), (7, 1), (8, 1), (9, 0)}
+        got = [r.asDict() for r in ngram_join.join(df, 4, 85, count=count).collect()]
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (7, 5), (8, 5), (9, 9)}
+        assert sorted((r["doc_id"], r["n_shingles"]) for r in got) == [(5, 47), (5, 57), (5, 57), (7, 57), (8, 47), (9, 1)]
+        assert not count or {(r["doc_id"], r["n_links"]) for r in got} == {(5, 1), (7, 1), (8, 1), (9, 0)}
 
 
 def test_rounds_join_chunks_and_outliers(spark):
@@ -117,9 +116,8 @@ def test_rounds_join_chunks_and_outliers(spark):
     rows += [[*[f"b{k}" for k in range(20)], *[f"s{n}-{k}" for k in range(30)]] for n in range(15)]
     rng.shuffle(rows)
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string").repartition(4)
-    for chunk in (4, 11, 512):
-        check(df, 4, 85, chunk=chunk)
-        check(df, 4, 85, chunk=chunk, count=True)
+    check(df, 4, 85, chunk=4)
+    check(df, 4, 85, chunk=11, count=True)
 
 
 def test_prefixes_share_a_key():
