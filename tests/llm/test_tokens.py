@@ -69,6 +69,20 @@ def test_grammar_round_trip():
             assert len(shard.symbols) < n and len(shard.lengths) > base
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    """A long passage that repeats becomes one symbol, however many rounds that takes."""
+    rng = np.random.default_rng(4)
+    passage = rng.permutation(2000)[:1500].astype(np.int32)
+    ids = np.concatenate([np.append(passage, 2000 + k) for k in range(40)]).astype(np.int32)
+    symbols, left, right, rounds = grammar.compress(ids, 3000, 20_000)
+    pairs, counts = np.unique(symbols[:-1].astype(np.int64) << 32 | symbols[1:], return_counts=True)
+    assert counts.max() < grammar.MIN_COUNT and len(rounds) > 8 and len(symbols) == 80
+    lengths = np.ones(3000 + len(left), dtype=np.int64)
+    for a, b in zip(rounds[:-1], rounds[1:], strict=True):
+        lengths[3000 + a : 3000 + b] = lengths[left[a:b]] + lengths[right[a:b]]
+    assert lengths.max() == 1500 and lengths[symbols].sum() == len(ids)
+
+
 def test_files(spark, tmp_path):
     library = Tokenizer.from_file(LIBRARY)
     df = documents(spark)
