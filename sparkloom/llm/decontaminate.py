@@ -9,8 +9,9 @@ item's words under tiles is its coverage, wherever the tiles stand in the text,
 a passage whose parts have changed places is caught as well. Only the stretches of a
 text that lie under seeds can hold a tile, so only they are tiled.
 
-The benchmark is read in parts of at most ``PART_WORDS`` words; each part is
-broadcast, and the texts are read once per part, so its size has no limit.
+The benchmark is read in parts of about ``PART_WORDS`` words. One part at a time is
+held by the driver and broadcast, and the texts are read once per part; what a part
+gives is written before the next one is read.
 
 Null or empty texts and items have no words, and match nothing; so do items of
 fewer than ``min_match`` words. Repeated texts and items are reported each. Ties
@@ -20,6 +21,7 @@ are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import textkernel as K
 
 #: Words of the shortest tile, and of a seed.
@@ -36,6 +39,8 @@ MIN_MATCH = 5
 COVERAGE = 0.5
 #: Words of one part of the benchmark.
 PART_WORDS = 2_000_000
+#: Pairs of equal windows looked at together.
+PAIRS = 1 << 19
 
 
 def tiles(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
@@ -45,60 +50,74 @@ def tiles(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> lis
     length = min(len(item), len(text), 32)
     if length < min_match:
         return found
-    while True:
+    while free_item.any():
         matches = _scan(item, text, free_item, free_text, length)
         longest = max((m[2] for m in matches), default=0)
         if longest > 2 * length:
             length = longest
             continue
-        queue = sorted(matches, key=lambda m: (-m[2], m[0], m[1]))
-        while queue:
-            k, (p, q, n) = 0, queue.pop(0)
+        queue = [(-n, p, q) for p, q, n in matches]
+        heapq.heapify(queue)
+        while queue and free_item.any():
+            n, p, q = heapq.heappop(queue)
+            n = -n
             if free_item[p : p + n].all() and free_text[q : q + n].all():
                 free_item[p : p + n] = free_text[q : q + n] = False
                 found.append((p, q, n))
                 continue
-            # what a marked tile has left of the match
-            both = np.flatnonzero(~(free_item[p : p + n] & free_text[q : q + n]))
+            # what marked tiles have left of the match
+            k, both = 0, np.flatnonzero(~(free_item[p : p + n] & free_text[q : q + n]))
             for stop in [*both.tolist(), n]:
                 if stop - k >= length:
-                    queue.append((p + k, q + k, stop - k))
+                    heapq.heappush(queue, (k - stop, p + k, q + k))
                 k = stop + 1
-            queue.sort(key=lambda m: (-m[2], m[0], m[1]))
         if length == min_match:
-            return found
+            break
         length = max(min_match, length // 2)
+    return found
 
 
 def _scan(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """All maximal common runs of at least ``length`` unmarked words, by hashes of windows."""
-    starts: dict[int, list[int]] = {}
-    for p, h in zip(*_windows(item, free_item, length), strict=True):
-        starts.setdefault(h, []).append(p)
-    out = []
-    for q, h in zip(*_windows(text, free_text, length), strict=True):
-        for p in starts.get(h, ()):
-            if p and q and free_item[p - 1] and free_text[q - 1] and item[p - 1] == text[q - 1]:
-                continue  # part of a run that began before
-            room = min(len(item) - p, len(text) - q)
-            same = (item[p : p + room] == text[q : q + room]) & free_item[p : p + room] & free_text[q : q + room]
-            n = room if same.all() else int(np.argmin(same))
-            if n >= length:
-                out.append((p, q, n))
+    own, own_hash = _windows(item, free_item, length)
+    other, other_hash = _windows(text, free_text, length)
+    order = np.argsort(own_hash, kind="stable")
+    own, own_hash = own[order], own_hash[order]
+    low = np.searchsorted(own_hash, other_hash)
+    count = np.searchsorted(own_hash, other_hash, side="right") - low
+    other, low, count = other[count > 0], low[count > 0], count[count > 0]
+    out, total, a = [], np.cumsum(count), 0
+    while a < len(other):  # so many places of the text that their pairs stay few
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS)))
+        p, q = own[K.expand(low[a:b], count[a:b])], np.repeat(other[a:b], count[a:b])
+        before = (p > 0) & (q > 0)
+        at = np.flatnonzero(before)
+        before[at] = free_item[p[at] - 1] & free_text[q[at] - 1] & (item[p[at] - 1] == text[q[at] - 1])
+        p, q = p[~before], q[~before]  # the others are part of a run that began before
+        n, going = np.zeros(len(p), dtype=np.int64), np.arange(len(p))
+        while len(going):
+            x, y = p[going] + n[going], q[going] + n[going]
+            inside = (x < len(item)) & (y < len(text))
+            going, x, y = going[inside], x[inside], y[inside]
+            going = going[(item[x] == text[y]) & free_item[x] & free_text[y]]
+            n[going] += 1
+        long = n >= length
+        out += zip(p[long].tolist(), q[long].tolist(), n[long].tolist(), strict=True)
+        a = b
     return out
 
 
-def _windows(values: np.ndarray, free: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+def _windows(values: np.ndarray, free: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the windows of unmarked words."""
     n = len(values) - length + 1
     if n < 1:
-        return [], []
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     blocked = np.cumsum(np.append(0, ~free))
     places = np.flatnonzero(blocked[length:] == blocked[:-length])
     rolled = np.zeros(n, dtype=np.uint64)
     for k in range(length):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + values[k : k + n]
-    return places.tolist(), rolled[places].tolist()
+    return places, rolled[places]
 
 
 class Benchmark:
@@ -173,15 +192,13 @@ def _seeds(hashes: np.ndarray, width: int) -> np.ndarray:
     return K.mix(rolled)
 
 
-def _parts(benchmark: DataFrame, min_match: int) -> list[Benchmark]:
-    """The benchmark in parts of bounded size."""
+def _parts(benchmark: DataFrame, min_match: int) -> Iterator[tuple[Benchmark, bool]]:
+    """The benchmark in parts of bounded size, and whether each is the only one."""
     words = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-words // (4 * PART_WORDS)))
-    out = []
     for k in range(parts):
         rows = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        out.append(Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows], min_match))
-    return out
+        yield Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows], min_match), parts == 1
 
 
 def find(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
@@ -212,19 +229,24 @@ def find(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cove
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
     context = docs.sparkSession.sparkContext
-    frames = [over(context.broadcast(part)) for part in _parts(benchmark, min_match)]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
+    out = None
+    for part, alone in _parts(benchmark, min_match):
+        shared = context.broadcast(part)
+        if alone:
+            return over(shared)
+        found = common.materialize(over(shared), "found")
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` (all columns) whose text no benchmark item contaminates."""
     context, text = docs.sparkSession.sparkContext, docs.columns.index("text")
-    for part in [context.broadcast(p) for p in _parts(benchmark, min_match)]:
+    for known, alone in _parts(benchmark, min_match):
+        shared = context.broadcast(known)
 
-        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], part=shared) -> Iterator[pa.RecordBatch]:
             known = part.value
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
@@ -235,4 +257,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, co
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not alone:
+            docs = common.materialize(docs, "clean")
+            shared.destroy()
     return docs
