@@ -184,7 +184,7 @@ def train(docs: DataFrame, learn, sample: int = SAMPLE) -> Model:
     total, counts = document_frequencies(usable)
     idf = np.log((1 + total) / (1 + counts)) + 1
     order = (F.xxhash64("doc_id"), "doc_id", "lang")
-    chosen = usable.select("doc_id", "lang").orderBy(*order).limit(sample).withColumnRenamed("lang", "label")
+    chosen = usable.select("doc_id", "lang").distinct().orderBy(*order).limit(sample).withColumnRenamed("lang", "label")
     rows = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter("lang = label").orderBy(*order).limit(sample).toArrow()
     return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), idf)
 
