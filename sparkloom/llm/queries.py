@@ -61,7 +61,8 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turn = lambda number, role: F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(number).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("text"))
+    more = spark.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, "assistant"))))
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.read_back(chat.windows(turns))
 
@@ -147,16 +148,16 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op9_exact_topk": """
         WITH v AS (
-          SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+          SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
           FROM embeddings
-          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), s AS (
-          SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                 CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          SELECT q.r AS r, q.vec_id AS query_id, c.vec_id AS vec_id,
+                 CAST(coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
           FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
         ), r AS (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+          SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,

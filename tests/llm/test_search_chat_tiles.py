@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -18,7 +19,7 @@ def test_top_k(spark):
     rows += [(500, None, "x"), (501, [], "x"), (502, [1.0, None], "x"), (503, [float("nan")], "x"), (504, [float("inf")], "x"), (None, [1.0] * 6, "x"), (505, [2.0, 1.0], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     vectors = search.quantised(df, "vec_id", "embedding", 256.0)
-    real = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if i is not None and i not in (500, 501, 502, 503, 504)}
+    real = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if i is not None and i not in (500, 502, 503, 504)}
     want = []
     for q in sorted(i for i in real if i % 50 == 0):
         scores = sorted((-sum(a * b for a, b in zip(real[q], v, strict=False)), i) for i, v in real.items() if i != q)[:5]
@@ -31,6 +32,44 @@ def test_top_k(spark):
     assert search.top_k(vectors.limit(0), vectors.limit(0)).collect() == []
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Every row of a repeated query id is answered, whatever the order of rows, and every repeated candidate counts."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (50, [2.0, 0.0]), (50, [2.0, 0.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, []), (3, [1.0, 5.0])]
+    want = []
+    for q, v in rows:
+        if q % 50 == 0:
+            scores = sorted((-sum(math.floor(a * 4) * math.floor(b * 4) for a, b in zip(v, w, strict=False)), i) for i, w in rows if i != q)[:3]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    for these in (rows, rows[::-1]):
+        vectors = search.quantised(spark.createDataFrame(these, "vec_id long, embedding array<double>"), "vec_id", "embedding", 4.0)
+        assert sorted(map(tuple, search.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 3).collect())) == sorted(want)
+
+
+def test_scores_beyond_64_bits():
+    big = np.array([[2**53, 2**53], [-(2**53), 2**53], [1, 0]], dtype=np.int64)
+    got = search.Postings(big).scores(big)
+    assert got.tolist() == [[2**63 - 2, 0, 2**53], [0, 2**63 - 2, -(2**53)], [2**53, -(2**53), 1]]
+
+
+def test_tiles_of_a_repetitive_text():
+    """One word 100,000 times over: no pair of places is looked at for long."""
+    begun = time.process_time()
+    assert decontaminate.tiles(np.ones(40, np.uint64), np.ones(100_000, np.uint64)) == [(0, 0, 40)]
+    two = decontaminate.tiles(np.tile(np.array([1, 2], np.uint64), 30), np.append(np.tile(np.array([1, 2, 2], np.uint64), 20_000), np.tile(np.array([1, 2], np.uint64), 12)))
+    assert time.process_time() - begun < 60 and two[0][2] == 25  # with the 2 before the last part
+
+
+def test_benchmark_of_several_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"w{rng.randint(0, 9999)}" for _ in range(30))) for k in range(20)]
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in items[::2]] + [(99, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.find(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 200)
+    assert sorted(map(str, decontaminate.find(docs, bench).collect())) == whole and len(whole) == 10
+    assert [r["doc_id"] for r in decontaminate.remove(docs, bench).collect()] == [99]
+
+
 def digest(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
