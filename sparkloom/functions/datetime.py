@@ -28,8 +28,8 @@ def strftime(pattern: str, x) -> Column:
             parts.append(F.lpad(F.weekofyear(at).cast("string"), 2, "0"))
         elif verb in _PATTERNS or verb == "P":
             parts.append(F.date_format(at, _PATTERNS.get(verb, "a")))
-        else:
-            raise ValueError(f"unknown verb %{verb}")
+        else:  # an unknown verb stays as it is
+            parts.append(F.lit(piece))
     return F.concat(*parts)
 
 
@@ -43,7 +43,7 @@ def extract_field(field: str, x) -> Column:
 def julian_day(x) -> Column:
     days = F.datediff(_timestamp(x).cast("date"), F.lit("1970-01-01").cast("date"))
     at = _timestamp(x)
-    seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.extract(F.lit("SECOND"), at).cast("double")
     return F.lit(2440587.5) + days + seconds / F.lit(86400.0)
 
 

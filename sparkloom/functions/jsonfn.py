@@ -51,37 +51,41 @@ def json_object(**members) -> Column:
     return F.to_json(F.struct(*[_column(members[k]).alias(k) for k in sorted(members)]), {"ignoreNullFields": "false"})
 
 
-def json_set(j, path: str, value) -> Column:
-    """Sets one member, making objects on the way; an array place must exist. NULL for what is no JSON."""
+def _put(text: str | None, path: str | None, new: str | None) -> str | None:
+    """One JSON text with a member set; ``new`` is JSON with the value as member v."""
+    try:
+        top = json.loads(text)
+    except (TypeError, ValueError):
+        return None
+    if path is None:
+        return None
     steps = [int(p) if p.isdigit() else p for p in path.split(".") if p]
+    value, at = json.loads(new)["v"] if new else None, top
+    for k, step in enumerate(steps):
+        last = k == len(steps) - 1
+        if isinstance(at, list):
+            if not isinstance(step, int) or step >= len(at):
+                return text
+            if last:
+                at[step] = value
+            at = at[step]
+        elif isinstance(at, dict):
+            step = str(step)
+            if last:
+                at[step] = value
+            elif not isinstance(at.get(step), (dict, list)):
+                at[step] = {}
+            at = at[step]
+        else:
+            return text
+    return json.dumps(top, separators=(",", ":"), ensure_ascii=False)
+
+
+def set_members(texts: pd.Series, paths: pd.Series, values: pd.Series) -> pd.Series:
+    given = lambda x: None if x is None or isinstance(x, float) else x
+    return pd.Series([_put(given(t), given(p), given(v)) for t, p, v in zip(texts, paths, values, strict=True)], dtype="object")
+
 
-    @F.pandas_udf("string")
-    def put(texts: pd.Series, values: pd.Series) -> pd.Series:
-        def one(text, new):
-            try:
-                top = json.loads(text)
-            except (TypeError, ValueError):
-                return None
-            at = top
-            for k, step in enumerate(steps):
-                last = k == len(steps) - 1
-                if isinstance(at, list):
-                    if not isinstance(step, int) or step >= len(at):
-                        return text
-                    if last:
-                        at[step] = new
-                    at = at[step]
-                elif isinstance(at, dict):
-                    step = str(step)
-                    if last:
-                        at[step] = new
-                    elif not isinstance(at.get(step), (dict, list)):
-                        at[step] = {}
-                    at = at[step]
-                else:
-                    return text
-            return json.dumps(top, separators=(",", ":"), ensure_ascii=False)
-
-        return pd.Series([one(t, None if pd.isna(v) else json.loads(v)["v"]) for t, v in zip(texts, values, strict=True)], dtype="object")
-
-    return put(_column(j), F.to_json(F.struct(_column(value).alias("v")), {"ignoreNullFields": "false"}))
+def json_set(j, path: str, value) -> Column:
+    """Sets one member, making objects on the way; an array place must exist. NULL for what is no JSON."""
+    return F.pandas_udf(set_members, "string")(_column(j), F.lit(path), F.to_json(F.struct(_column(value).alias("v")), {"ignoreNullFields": "false"}))

@@ -123,23 +123,25 @@ def glob(pattern: str, s) -> Column:
     return _column(s).rlike(glob_pattern(pattern))
 
 
+_ESCAPES = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|\+([0-9A-Fa-f]{6})|([nrt\\]))")
+_PLAIN = {"n": "\n", "r": "\r", "t": "\t", "\\": "\\"}
+
+
+def _escape(m: re.Match) -> str:
+    digits = m[1] or m[2] or m[3]
+    if digits:
+        point = int(digits, 16)
+        return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else m[0]
+    return _PLAIN[m[4]]
+
+
+def expand_escapes(column: pd.Series) -> pd.Series:
+    return column.map(lambda x: _ESCAPES.sub(_escape, x), na_action="ignore")
+
+
 def unistr(s) -> Column:
-    r"""Expands \uXXXX, \UXXXXXXXX, \+XXXXXX, \n, \r, \t and \; other text stays."""
-    @F.pandas_udf("string")
-    def expand(column: pd.Series) -> pd.Series:
-        plain = {"n": "\n", "r": "\r", "t": "\t", "\\": "\\"}
-
-        def one(m: re.Match) -> str:
-            digits = m[1] or m[2] or m[3]
-            if digits:
-                point = int(digits, 16)
-                return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else m[0]
-            return plain[m[4]]
-
-        pattern = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|\+([0-9A-Fa-f]{6})|([nrt\\]))")
-        return column.map(lambda x: pattern.sub(one, x), na_action="ignore")
-
-    return expand(_column(s))
+    r"""Expands \uXXXX, \UXXXXXXXX, \+XXXXXX, \n, \r, \t and \\; other text stays."""
+    return F.pandas_udf(expand_escapes, "string")(_column(s))
 
 
 def zero_blob(n: int) -> Column:

@@ -34,6 +34,23 @@ def insert_or_ignore(t):
     return changes.insert_or_ignore(t.region, _more_regions(t), ["r_regionkey"])[0]
 
 
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT * FROM (VALUES (7, 'NEW'), (NULL, 'x'), (NULL, 'y')) AS m(r_regionkey, r_name)")
+def insert_or_ignore_null_keys(t):
+    """Keys with a NULL conflict with none; of two rows with a key the first enters."""
+    rows = t._spark.createDataFrame([(3, "CHANGED"), (7, "NEW"), (None, "x"), (7, "late"), (None, "y")], "r_regionkey int, r_name string").coalesce(1)
+    return changes.insert_or_ignore(t.region, rows, ["r_regionkey"])[0]
+
+
+@query("SELECT r_regionkey, upper(r_name) || '!' AS name FROM (VALUES (11, 'lemuria'), (12, 'mu')) AS m(r_regionkey, r_name)")
+def insert_returning(t):
+    """INSERT ... RETURNING in a session's SQL."""
+    from ..session import EngineSession
+
+    session = EngineSession(t._spark)
+    session.register("region", t.region.select("r_regionkey", "r_name"), "r_regionkey")
+    return session.exec("INSERT INTO region VALUES (?, ?), (12, 'mu') RETURNING r_regionkey, upper(r_name) || '!' AS name", 11, "lemuria").returned
+
+
 @query(f"SELECT r_regionkey, r_name FROM region WHERE r_regionkey NOT IN (3, 7, 8) UNION ALL SELECT * FROM {_MORE}")
 def insert_or_replace(t):
     return changes.insert_or_replace(t.region, _more_regions(t), ["r_regionkey"])[0]

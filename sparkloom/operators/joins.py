@@ -98,8 +98,12 @@ def join_asof(t):
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """An inner equi-join whose keys are spread over ``salts`` partitions each, for keys that hold much of ``left``."""
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    """An inner equi-join whose keys are spread over ``salts`` partitions each, for keys that hold much of ``left``.
+
+    A row's salt is its place in its task, so equal rows are spread as well; a task that
+    runs again over the same input gives the same salts.
+    """
+    a = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [key, "_salt"]).drop("_salt")
 

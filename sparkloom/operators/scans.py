@@ -53,9 +53,9 @@ def scan_range(t):
     return t.orders.filter((F.col("o_orderkey") >= 100) & (F.col("o_orderkey") < 220)).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'p%' AND p_size > 10")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'sma%' AND p_size > 10")
 def scan_prefix(t):
-    return t.part.filter(F.col("p_name").startswith("p") & (F.col("p_size") > 10)).select("p_partkey", "p_name")
+    return t.part.filter(F.col("p_name").startswith("sma") & (F.col("p_size") > 10)).select("p_partkey", "p_name")
 
 
 sql("values_row", "SELECT CAST(1 + 2 AS BIGINT) AS a, 'x' || 'y' AS b, CAST(NULL AS BIGINT) AS c")

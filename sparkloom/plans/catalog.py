@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ class Table:
     checks: list[str] = field(default_factory=list)
     foreign: list[ForeignKey] = field(default_factory=list)
     rows: DataFrame | None = None  #: the current version
+    parts: list[str] = field(default_factory=list)  #: its folders, if this session has written all of it
+    fresh: bool = False  #: made by this session, so that parts are all of it
 
     @property
     def names(self) -> list[str]:
@@ -71,8 +73,12 @@ class Table:
                 rows = rows.withColumn(c.name, F.expr(c.generated).cast(c.kind))
         return rows.select(*[f"`{c}`" for c in self.names])
 
-    def violations(self, rows: DataFrame, tables: dict[str, Table]) -> dict[str, DataFrame]:
-        """By kind of constraint, the rows (or keys) that break it. ``rows`` is the table as it would be."""
+    def violations(self, rows: DataFrame, tables: dict[str, Table], added: bool = False) -> dict[str, DataFrame]:
+        """By kind of constraint, the rows (or keys) that break it. ``rows`` is the table as it would be.
+
+        With ``added``, rows are what a statement adds to the current version, which holds already: only
+        they are checked, and their keys are looked up in the version.
+        """
         out = {}
         needed = [c.name for c in self.columns if c.not_null or c.name == self.key]
         for c in needed:
@@ -81,16 +87,27 @@ class Table:
             given = rows
             for k in keys:
                 given = given.filter(F.col(f"`{k}`").isNotNull())  # NULLs are all different
-            out[f"UNIQUE {', '.join(keys)}"] = given.groupBy(*[f"`{k}`" for k in keys]).count().filter("count > 1")
+            twice = given.groupBy(*[f"`{k}`" for k in keys]).count().filter("count > 1")
+            if added:
+                known = self.rows.select(*[f"`{k}`" for k in keys])
+                twice = twice.unionByName(given.join(known, list(keys), "left_semi").select(*[f"`{k}`" for k in keys], F.lit(2).cast("long").alias("count")))
+            out[f"UNIQUE {', '.join(keys)}"] = twice
         for check in self.checks:
             out[f"CHECK {check}"] = rows.filter(~F.coalesce(F.expr(check), F.lit(True)))
         for f in self.foreign:
-            target = tables[f.table.lower()].rows.select(F.col(f"`{f.target}`").alias("_target"))
+            target = tables[f.table.lower()].rows
+            if added and f.table.lower() == self.name.lower():
+                target = target.unionByName(rows)
+            target = target.select(F.col(f"`{f.target}`").alias("_target"))
             out[f"FOREIGN KEY {f.column}"] = rows.filter(F.col(f"`{f.column}`").isNotNull()).join(target, F.col(f"`{f.column}`") == F.col("_target"), "left_anti")
         return out
 
-    def validate(self, rows: DataFrame, tables: dict[str, Table]) -> None:
-        for kind, bad in self.violations(rows, tables).items():
+    def copy(self) -> Table:
+        """The definition and version, apart from later changes."""
+        return replace(self, columns=[replace(c) for c in self.columns], unique=list(self.unique), checks=list(self.checks), foreign=list(self.foreign), parts=list(self.parts))
+
+    def validate(self, rows: DataFrame, tables: dict[str, Table], added: bool = False) -> None:
+        for kind, bad in self.violations(rows, tables, added).items():
             found = bad.limit(1).collect()
             if found:
                 raise ConstraintViolation(kind, f"{self.name}: {found[0].asDict()}")

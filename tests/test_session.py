@@ -1,3 +1,6 @@
+from datetime import date, datetime
+from decimal import Decimal
+
 import pytest
 
 from sparkloom.plans.dialect import translate
@@ -96,6 +99,111 @@ def test_expression(spark, text, want):
     assert one(spark, text) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("SELECT (-7) / 2", -3),
+        ("SELECT 'CHANGES()'", "CHANGES()"),
+        ("SELECT ROUND(123.4, -1)", 123.0),
+        ("SELECT 3 IS NOT 4", True),
+        ("SELECT NULL IS 4", False),
+        ("SELECT 4 IS NOT NULL", True),
+        ("SELECT JSON_TYPE('[1]')", "array"),
+        ("SELECT JSON_TYPE('{\"a\":{\"b\":\"x\"}}', 'a.b')", "text"),
+        ("SELECT JSON_TYPE('nothing')", None),
+        ("SELECT JSON_SET('{\"a\":1}', 'b.c', 2)", '{"a":1,"b":{"c":2}}'),
+        ("SELECT JSON_SET('[1,2]', '1', 'x')", '[1,"x"]'),
+        ("SELECT UNISTR('\\0041 \\u00e9')", "\\0041 é"),
+        ("SELECT STRFTIME('%Y %q', '2020-01-02')", "2020 %q"),
+        ("SELECT JULIANDAY('2000-01-01 12:00:00.5') > JULIANDAY('2000-01-01 12:00:00')", True),
+        ("SELECT k FROM (VALUES (1), (2)) AS t(k) ORDER BY k DESC FETCH FIRST 1 ROW ONLY", 2),
+    ],
+)
+def test_more_expressions(spark, text, want):
+    assert one(spark, text) == want
+
+
+def test_not_in_of_a_subquery(spark):
+    session = EngineSession(spark)
+    big = "SELECT id FROM range(0, 50)"
+    assert rows(session.sql(f"SELECT k FROM (VALUES (7), (99), (NULL)) AS t(k) WHERE k NOT IN ({big})")) == [(99,)]
+    assert rows(session.sql(f"SELECT k FROM (VALUES (7), (99)) AS t(k) WHERE k > 0 AND k NOT IN (SELECT nullif(id, 3) FROM ({big}))")) == []
+    assert rows(session.sql(f"SELECT k FROM (VALUES (7), (NULL)) AS t(k) WHERE k NOT IN (SELECT id FROM ({big}) WHERE id < 0)")) == [(7,), (None,)]
+    assert rows(session.sql(f"SELECT k FROM (VALUES (7), (99)) AS t(k) WHERE k = 7 OR k NOT IN ({big})")) == [(7,), (99,)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = session.explain(f"SELECT id FROM range(1000) WHERE id NOT IN ({big})")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_parameters_of_any_kind(spark):
+    session = EngineSession(spark)
+    session.exec("CREATE TABLE p (k INTEGER PRIMARY KEY, t TEXT, d DECIMAL(10,2), b BLOB, x REAL, at TIMESTAMP, on_day DATE)")
+    session.exec("INSERT INTO p VALUES (?, ?, ?, ?, ?, ?, ?) -- why?", -1, "what? 'it' \\ -- ?", Decimal("1.50"), b"\x00\xff", float("inf"), datetime(2020, 1, 2, 3, 4, 5), date(2021, 1, 1))
+    assert tuple(session.table("p").first()) == (-1, "what? 'it' \\ -- ?", Decimal("1.50"), bytearray(b"\x00\xff"), float("inf"), datetime(2020, 1, 2, 3, 4, 5), date(2021, 1, 1))
+    assert session.exec("DELETE FROM p WHERE k = 0 -?", 1).affected == 1
+    for given in ((), (1, 2)):
+        with pytest.raises(SyntaxFault):
+            session.exec("DELETE FROM p WHERE k = ?", *given)
+
+
+def test_null_keys_and_winners(spark):
+    session = EngineSession(spark)
+    session.exec("CREATE TABLE u (id INTEGER PRIMARY KEY, email TEXT UNIQUE)")
+    session.exec("INSERT OR IGNORE INTO u VALUES (1, NULL), (2, NULL), (3, 'a')")
+    assert rows(session.table("u")) == [(1, None), (2, None), (3, "a")]
+    assert session.exec("INSERT OR IGNORE INTO u VALUES (3, 'z'), (4, 'a'), (5, 'b'), (5, 'c'), (6, 'b'), (6, 'd')").affected == 2
+    assert rows(session.table("u")) == [(1, None), (2, None), (3, "a"), (5, "b"), (6, "d")]
+    session.exec("REPLACE INTO u VALUES (3, 'first'), (3, 'b'), (9, NULL)")
+    assert rows(session.table("u")) == [(1, None), (2, None), (3, "b"), (6, "d"), (9, None)]
+    session.exec("INSERT INTO u VALUES (6, 'x'), (6, 'y') ON CONFLICT (id) DO UPDATE SET email = excluded.email")
+    assert rows(session.sql("SELECT email FROM u WHERE id = 6")) == [("y",)]
+
+
+def test_transactions(session):
+    before = rows(session.table("users"))
+    session.exec("BEGIN")
+    session.exec("DELETE FROM users WHERE id = 1")
+    session.exec("SAVEPOINT one")
+    session.exec("INSERT INTO users (id, name) VALUES (50, 'x')")
+    session.exec("CREATE TABLE other (k INT)")
+    session.exec("ALTER TABLE users ADD COLUMN more TEXT")
+    session.exec("ROLLBACK TO one")
+    assert rows(session.sql("SELECT id FROM users")) == [(2,), (3,)] and "other" not in session.tables and "more" not in session.table("users").columns
+    with pytest.raises(EngineError):
+        session.exec("VACUUM")
+    session.exec("ROLLBACK")
+    assert rows(session.table("users")) == before
+    for text in ("ROLLBACK", "COMMIT", "RELEASE one"):
+        with pytest.raises(EngineError):
+            session.exec(text)
+    session.exec("BEGIN TRANSACTION")
+    session.exec("DELETE FROM users")
+    session.exec("COMMIT")
+    assert rows(session.table("users")) == []
+
+
+def test_an_insert_writes_its_rows_alone(spark, tmp_path):
+    session = EngineSession(spark, f"file://{tmp_path}")
+    session.exec("CREATE TABLE t (k INTEGER PRIMARY KEY, v TEXT)")
+    session.exec("INSERT INTO t SELECT id, 'x' FROM range(1000)")
+    session.exec("INSERT INTO t VALUES (5000, 'y')")
+    folders = [sum(1 for f in p.iterdir() if f.suffix == ".parquet") for p in sorted((tmp_path / "t").iterdir(), key=lambda p: p.stat().st_mtime)]
+    sizes = [spark.read.parquet(f"file://{p}").count() for p in sorted((tmp_path / "t").iterdir(), key=lambda p: p.stat().st_mtime)]
+    assert len(folders) == 2 and sizes == [1000, 1] and session.table("t").count() == 1001
+    with pytest.raises(ConstraintViolation):
+        session.exec("INSERT INTO t VALUES (7000, 'a'), (999, 'b')")
+    assert session.table("t").count() == 1001 and one_of(session, "SELECT LAST_INSERT_ROWID()") == 5000
+
+
+def test_errors_are_the_engines(session):
+    for text, kind in (("SELECT nothing FROM users", NotFound), ("SELECT 1 FROM nowhere", NotFound), ("SELECT NO_SUCH(1)", NotFound), ("SELECT 1 FROM (users", SyntaxFault), ("SELECT 1 1 1", SyntaxFault)):
+        with pytest.raises(kind):
+            session.sql(text)
+
+
 def test_division_of_columns(spark):
     s = EngineSession(spark)
     s.register("t", spark.createDataFrame([(7, 2, 7.0), (7, 0, 1.0)], "a long, b long, c double"))
