@@ -13,8 +13,13 @@ _written: list[str] = []
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Python workers get texts in small Arrow batches, so that a worker's memory is that of a few slices."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Python workers get texts in small Arrow batches, so that a worker's memory is that of a few slices.
+
+    The setting is read when a query runs, so it stays in the session; a smaller one of the session's is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= 1000:
+        spark.conf.set(name, "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

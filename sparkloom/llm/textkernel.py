@@ -132,7 +132,7 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[n
     counts = np.diff(first)
     n = len(hashes)
     rolled = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         factor = _U64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64))
         rolled[: n - k] += hashes[k:] * factor
     rolled = mix(rolled)

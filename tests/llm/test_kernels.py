@@ -50,3 +50,10 @@ def test_slices_of_sliced_arrays():
     column = pa.array(["ab", None, "", "cde", "f"]).slice(1, 3)
     raw, offs = K.buffers(column)
     assert raw.tobytes() == b"cde" and offs.tolist() == [0, 0, 0, 3]
+
+
+def test_shingles_of_fewer_words_than_the_width():
+    """Also where a whole slice has fewer words."""
+    for count in (0, 1, 3):
+        made, first = K.shingle_hashes(np.arange(1, count + 1, dtype=np.uint64), np.array([0, count, count]), 5)
+        assert len(made) == min(count, 1) and first.tolist() == [0, min(count, 1), min(count, 1)]

@@ -54,6 +54,15 @@ def test_pipeline(spark):
     assert sum(d in kept for d, y in labels.items() if y) > 0.95 * sum(labels.values())
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Also where the kept doc_id repeats; rows without a doc_id stay."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "b"), (1, text, "a"), (2, text, "c"), (3, "other words here", "d"), (None, text, "e"), (None, text, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([(1, text, "a"), (3, "other words here", "d"), (None, text, "e"), (None, text, "e")], key=str)
+
+
 def test_stages_take_the_columns_they_get(spark):
     docs = common.table(spark, SF, "documents").limit(30).withColumn("score", common.F.lit(1))
     assert corpus_pipeline.near_duplicates(spark, docs, SF).columns == docs.columns
