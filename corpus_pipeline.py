@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns
-of documents.
+of documents, and further ones that docs may have, whatever their names.
+
+Null texts count as empty ones: they go by their quality score, or have no language.
+Very long texts are taken whole. Rows with a null doc_id go through all stages. Rows
+that repeat are judged alike; of a kept doc_id that repeats, the near-duplicate stage
+keeps one row. Empty tables give empty tables (without labels or languages to learn
+from, nothing is known to be good, and nothing stays).
 """
 
 from __future__ import annotations
@@ -35,14 +41,19 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of near duplicates.
 
-    Rows with a null doc_id belong to no group and stay; of rows that repeat a kept
-    doc_id, all stay.
+    Rows with a null doc_id belong to no group and stay. Of rows that repeat a kept
+    doc_id the least one stays, by the text and then the other columns.
     """
     common.text_batches(spark)
-    groups = common.materialize(ngram_join.join(docs, NGRAM, THRESHOLD).filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    if groups.limit(200_001).count() <= 200_000:
-        return docs.join(F.broadcast(groups), "doc_id", "left_anti").select(*docs.columns)
-    return docs.join(groups.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    classes = common.materialize(ngram_join.join(docs, NGRAM, THRESHOLD).select("doc_id", "component_id"), "classes")
+    dropped = common.materialize(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    repeated = common.materialize(classes.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    kept = common.join_small(docs, dropped, "doc_id", "left_anti").select(*docs.columns)
+    if common.is_empty(repeated):
+        return kept
+    order = ["text", *(c for c in docs.columns if c != "text")]
+    one = common.join_small(kept, repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("least")).select("least.*").select(*docs.columns)
+    return common.join_small(kept, repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
