@@ -66,6 +66,8 @@ PIECES = 16
 HOT_KEY = 1 << 15
 #: Members of a component of a large group that meet those of others in the second round.
 REPRESENTATIVES = 8
+#: Rows of cells (32 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Cells are looked at in tables of about so many rows or bytes.
 WINDOW_ROWS = 1 << 13
 WINDOW_BYTES = 8 << 20
@@ -661,6 +663,14 @@ def _cross(members: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame
     return cells.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", F.col("own").alias("side"), "label")
 
 
+def _filled(cells: DataFrame, payload: DataFrame) -> DataFrame:
+    """Cells with what belongs to their nodes; few cells, as those of later rounds, go to where that is."""
+    cells = common.materialize(cells, "cells")
+    if cells.measured["rows"] <= BROADCAST_ROWS:
+        return payload.join(F.broadcast(cells), "node")
+    return cells.join(payload.hint("merge"), "node")
+
+
 class _Prepared:
     """What all forms of the join start from."""
 
@@ -677,8 +687,8 @@ class _Prepared:
         keys = _keys(texts.filter("doc_id IS NOT NULL"), ngram, threshold, _sketch(described))
         blocks = common.materialize(keys.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_blocks, "block long, node long"), "blocks")
         members = common.materialize(blocks.distinct().select(F.col("block").alias("group"), "node", F.lit(1.0).alias("weight")), "members")
-        maps = self.nodes.select("node", "n", "map").hint("merge")
-        clusters = _by_rounds(members, chunk, lambda cells: _candidates(cells.join(maps, "node").select("cell", "node", "side", "label", "n", "map"), threshold))
+        maps = self.nodes.select("node", "n", "map")
+        clusters = _by_rounds(members, chunk, lambda cells: _candidates(_filled(cells, maps).select("cell", "node", "side", "label", "n", "map"), threshold))
 
         # the n-grams of the sets of clusters, from one text of each
         chosen = common.materialize(clusters.join(self.nodes.select("node", "doc_id", "copies", "n").hint("merge"), "node").withColumnRenamed("label", "cluster"), "chosen")
@@ -688,7 +698,7 @@ class _Prepared:
         self.values = common.materialize(_values(wanted, ngram).dropDuplicates(["node"]), "values")
 
     def exact(self, cells: DataFrame, what: str) -> DataFrame:
-        filled = cells.join(self.values.hint("merge"), "node").select("cell", "node", "side", "label", "copies", "values")
+        filled = _filled(cells, self.values).select("cell", "node", "side", "label", "copies", "values")
         return _exact(filled, self.threshold, what)
 
     def same_ids(self) -> DataFrame | None:

@@ -101,7 +101,7 @@ def test_repeated_ids_with_other_texts(spark):
         assert not count or {(r["doc_id"], r["n_links"]) for r in got} == {(5, 1), (7, 1), (8, 1), (9, 0)}
 
 
-def test_rounds_join_chunks_and_outliers(spark):
+def test_rounds_join_chunks_and_outliers(spark, monkeypatch):
     """A group of many chunks: near copies of one text, members linked through one other only, and strangers that share its rarest words."""
     rng = random.Random(21)
     base = [f"b{k}" for k in range(80)]
@@ -117,6 +117,7 @@ def test_rounds_join_chunks_and_outliers(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string").repartition(4)
     check(df, 4, 85, chunk=4)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     check(df, 4, 85, chunk=11, count=True)
 
 
