@@ -1,26 +1,34 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
 A token's probability is that of its class given the tokens before it, times that of
-the token in its class:
+the token in its class given the token before it:
 
 * The class is predicted by a softmax over ``CLASSES`` whose weights are rows of
   hashed features: a bias, the preceding token, the token before it and the one
-  before that (skip features), and the preceding pair (n-gram). Tokens enter features
-  by ``BUCKETS`` buckets of their last letters.
-* Inside a class the weights are those of the tokens alone, for which the maximum
-  entropy solution is known: (c + 0.1) / (N + 0.1 (V + 1)), with the class's counts.
-  A class keeps the share of one unseen token, so all probabilities sum to one.
+  before that (skip features), and the preceding pair (n-gram). Here tokens enter
+  features by ``BUCKETS`` buckets of their last letters.
+* Inside a class the softmax has two features: the token, and the pair of the whole
+  preceding word and the whole token, hashed to ``PAIR_BITS`` bits. The weight of the
+  token alone is log u, with u = (c + 0.1) / (N + 0.1 (V + 1)) by the class's counts
+  (a class keeps the share of one unseen token). Every pair that occurs in training
+  texts has a weight w of its own, fitted by gradient steps of the penalised likelihood
+  (``pair_weights``), and sum(u exp(w)) over the class, 1 where no pair is known, is
+  summed over all pairs of a context. So all probabilities sum to one, and what is
+  gathered grows with the corpus: a count for each word, pair and context.
 
 Buckets are joined into classes by k-means over what follows them.
 
 The texts are cut into blocks once: every block holds its token stream as places in
 its own list of distinct words, so words are hashed and counted per block before
-anything is shuffled, and a block gets back the corpus counts of its own words only;
-no vocabulary is broadcast. All counts cover all training texts, and each block's
-training texts take part in one of ``ROUNDS`` rounds of gradient updates: the tasks of
-a round update the weights by AdaGrad (one rate per row) over their blocks, and the new
-weights are the mean of theirs, row by row, by how often each has met the row. What
-goes to the driver are sums of a fixed size.
+anything is shuffled, and a block gets back the corpus counts of its own words, pairs
+and contexts only; no vocabulary is broadcast. A block's entries go out as sorted arrays,
+one for each part of the hash range (``_totals``); parts hold the entries of
+some ``PART_TOKENS`` tokens whatever the corpus, and a word or pair, however
+frequent, has one entry per block. All counts cover all training texts, and each block's
+training texts take part in one of ``ROUNDS`` rounds of gradient updates of the classes:
+the tasks of a round update the weights by AdaGrad (one rate per row) over their blocks,
+and the new weights are the mean of theirs, row by row, by how often each has met the
+row. What goes to the driver are sums of a fixed size.
 
 Null texts are empty texts, of one token, the end. Rows with a null doc_id are
 learned from. Repeated rows count as often as they occur. Without training texts all
@@ -29,13 +37,14 @@ counts are 0 and every score follows from the formula. Other columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,6 +61,14 @@ RATE = 0.3
 #: Bytes of text of a block.
 BLOCK_BYTES = 8 << 20
 SUM_PARTS = 16
+#: Pairs and contexts are hashed to this many bits.
+PAIR_BITS = 48
+#: Weight of the squares of the pairs' weights in what is minimised.
+PENALTY = 0.1
+STEPS = 12
+#: Tokens whose entries make up a part of the hash range, about.
+PART_TOKENS = 2 << 20
+WORDS, PAIRED, CONTEXTS, NORMS = range(4)
 
 _RARE = 0xFFFF
 _END_KEY = np.uint64(0x0E4D)
@@ -120,13 +137,19 @@ class Block:
     first: np.ndarray
     tokens: np.ndarray
     buckets: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
 
     @classmethod
     def of(cls, row: dict) -> Block:
         read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
         tokens = read("tokens", np.uint16).astype(np.int32)
         tokens[tokens == _RARE] = read("rare", np.int32)
-        return cls(row["doc_ids"], read("held", bool), read("first", np.int64), tokens, read("buckets", np.uint16))
+        return cls(row["doc_ids"], read("held", bool), read("first", np.int64), tokens, read("buckets", np.uint16), *(read(name, kind) if name in row else None for name, kind in (("keys", np.uint64), ("counts", np.int64))))
+
+    def learned(self) -> np.ndarray:
+        """Which tokens are learned from."""
+        return np.repeat(~self.held, np.diff(self.first))
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """The bucket of each token, and the rows of its features (but the bias, which is row 0)."""
@@ -145,21 +168,167 @@ class Block:
         return bucket, rows
 
 
-def _word_rows(made: DataFrame) -> DataFrame:
-    """(key, bucket, block, place, n) of every distinct word of every block."""
+_MASK = np.uint64(64 - PAIR_BITS)
+
+
+class Pairs:
+    """The distinct pairs of a block (preceding word and token) and their contexts (preceding word and class), by hash."""
+
+    def __init__(self, block: Block, class_of: np.ndarray):
+        word = block.keys[block.tokens]
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[block.first[:-1]] = _END_KEY  # the beginning counts as an end
+        before = K.mix(before)
+        self.keys, one, self.of_token = np.unique(K.mix(before * np.uint64(3) + word) >> _MASK, return_index=True, return_inverse=True)
+        self.word = block.tokens[one]
+        kind = class_of[block.buckets[self.word]].astype(np.uint64)
+        self.contexts, self.context = np.unique(K.mix(before[one] + kind) >> _MASK, return_inverse=True)
+        self.counts = np.bincount(self.of_token[block.learned()], minlength=len(self.keys))
+        self.context_counts = np.bincount(self.context, self.counts, minlength=len(self.contexts)).astype(np.int64)
+
+
+def pair_weights(count: np.ndarray, context: np.ndarray, share: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """The weight of each pair that occurs ``count`` times, its context ``context`` times, its token having ``share`` of its class.
+
+    Newton steps along the gradient count - context * share * exp(w) - penalty * w,
+    which has one root; pairs never seen in training have no weight (0).
+    """
+    out = np.zeros(len(count))
+    seen = np.flatnonzero(count > 0)
+    n, expected = count[seen].astype(np.float64), context[seen] * share[seen]
+    w = np.clip(np.log(n / expected), -20, 20)
+    for _ in range(STEPS):
+        model = expected * np.exp(w)
+        w += np.clip((n - model - penalty * w) / (model + penalty), -1, 1)
+    out[seen] = w
+    return out
+
+
+_ENTRIES = "part int, block long, kind int, low binary, high binary, value binary, class binary"
+_RETURNED = "block long, kind int, part int, data binary, lead binary, n long, v long"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes as the largest takes."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def _unpacked(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{len(data) // max(count, 1) or 1}")
+
+
+def _entries(block: int, kind: int, bits: int, parts: int, keys: np.ndarray, values: np.ndarray, classes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A block's sorted keys (of ``bits`` bits) and their values, a row for each part of the range of keys."""
+    places = np.flatnonzero(np.diff(part := (keys >> np.uint64(bits - parts)).astype(np.int32) if parts else np.zeros(len(keys), np.int32)))
+    edges = np.concatenate([[0], places + 1, [len(keys)]])
+    rows = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+    low, high = keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(rows), 256):
+        some = rows[a : a + 256]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([part[x.start] for x in some], pa.int32()),
+                pa.array([block] * len(some), pa.int64()),
+                pa.array([kind] * len(some), pa.int32()),
+                pa.array([low[x].tobytes() for x in some], pa.binary()),
+                pa.array([high[x].tobytes() for x in some], pa.binary()),
+                pa.array([values[x].tobytes() if kind == NORMS else _packed(values[x]) for x in some], pa.binary()),
+                pa.array([None if classes is None else classes[x].tobytes() for x in some], pa.binary()),
+            ],
+            names=[c.split()[0] for c in _ENTRIES.split(", ")],
+        )
+
+
+def _totals(entries: DataFrame) -> DataFrame:
+    """For each row of entries, the sums of its keys' values over all blocks, in the order of its keys.
+
+    ``lead`` marks the keys whose first block this is; it is given for pairs. Words give
+    rows of block -1 besides, with the tokens (n) and distinct words (v) of each class (kind).
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("kind", "ascending"), ("block", "ascending")])
+        kinds = table.column("kind").to_numpy()
+        out: dict[str, list] = {c.split()[0]: [] for c in _RETURNED.split(", ")}
+
+        def add(block, kind, data=None, lead=None, n=None, v=None):
+            for name, value in zip(out, (block, kind, key[0].as_py(), data, lead, n, v), strict=True):
+                out[name].append(value)
+
+        for kind in np.unique(kinds):
+            rows = table.filter(pa.array(kinds == kind)).select(["block", "low", "high", "value", "class"]).to_pylist()
+            sizes = np.array([len(r["low"]) // 4 for r in rows])
+            low, high = (np.frombuffer(b"".join(r[name] for r in rows), np.uint32).astype(np.uint64) for name in ("low", "high"))
+            values = np.concatenate([np.frombuffer(r["value"], np.float32) if kind == NORMS else _unpacked(r["value"], n) for r, n in zip(rows, sizes, strict=True)])
+            keys, one, at = np.unique(low | high << np.uint64(32), return_index=True, return_inverse=True)
+            total = np.bincount(at, values, minlength=len(keys))  # exact below 2**53
+            if kind == WORDS:
+                kept = total > 0
+                word_class = np.frombuffer(b"".join(r["class"] for r in rows), np.uint8)[one][kept]
+                n, v = np.bincount(word_class, total[kept], minlength=CLASSES), np.bincount(word_class, minlength=CLASSES)
+                for k in np.flatnonzero(v):
+                    add(-1, int(k), n=int(n[k]), v=int(v[k]))
+            lead = np.zeros(len(at), dtype=bool)
+            lead[one] = True
+            edges = np.append(0, np.cumsum(sizes))
+            for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True):
+                mine = total[at[a:b]]
+                add(r["block"], int(kind), mine.astype(np.float32).tobytes() if kind == NORMS else _packed(mine), np.packbits(lead[a:b]).tobytes() if kind == PAIRED else None)
+        types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        return pa.table({c.split()[0]: pa.array(out[c.split()[0]], types[c.split()[1]]) for c in _RETURNED.split(", ")})
+
+    return entries.groupBy("part").applyInArrow(run, _RETURNED)
+
+
+def _counts(made: DataFrame, class_of: np.ndarray, parts: int) -> DataFrame:
+    """The entries of every block's words, pairs and contexts, with their occurrences in training texts."""
+    shared = made.sparkSession.sparkContext.broadcast(class_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys = np.frombuffer(row["keys"], dtype=np.int64)
-                for a in range(0, len(keys), 1 << 16):
-                    part = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[part]), pa.array(np.frombuffer(row["buckets"], dtype=np.uint16)[part].astype(np.int32)), pa.array(np.full(len(keys[part]), row["block"])), pa.array(np.arange(len(keys), dtype=np.int32)[part]), pa.array(np.frombuffer(row["counts"], dtype=np.int64)[part])],
-                        names=["key", "bucket", "block", "place", "n"],
-                    )
-
-    return made.select("block", "keys", "buckets", "counts").mapInArrow(run, "key long, bucket int, block long, place int, n long")
+                block = Block.of(row)
+                order = np.argsort(block.keys)
+                yield from _entries(row["block"], WORDS, 64, parts, block.keys[order], block.counts[order], shared.value[block.buckets[order]].astype(np.uint8))
+                pairs = Pairs(block, shared.value)
+                yield from _entries(row["block"], PAIRED, PAIR_BITS, parts, pairs.keys, pairs.counts)
+                yield from _entries(row["block"], CONTEXTS, PAIR_BITS, parts, pairs.contexts, pairs.context_counts)
+
+    return made.select("block", *_STREAM, "keys", "counts").mapInArrow(run, _ENTRIES)
+
+
+class Counted:
+    """A block with the corpus counts of its words, pairs and contexts, and the weights of its pairs."""
+
+    def __init__(self, row: dict, returned: pa.Table, parts: int, class_of: np.ndarray, n_class: np.ndarray, v_class: np.ndarray):
+        self.parts = parts
+        self.block = block = Block.of(row)
+        self.pairs = pairs = Pairs(block, class_of)
+        found: dict[int, list] = {kind: [] for kind in (WORDS, PAIRED, CONTEXTS, NORMS)}
+        for r in sorted(returned.select(["kind", "part", "data", "lead"]).to_pylist(), key=lambda r: r["part"]):
+            found[r["kind"]].append((r["data"], r["lead"]))
+        word_keys = np.sort(block.keys)
+        self.counts = np.empty(len(word_keys), dtype=np.int64)
+        self.counts[np.argsort(block.keys)] = self._read(found[WORDS], word_keys, 64)
+        self.lead = np.zeros(len(pairs.keys), dtype=bool)
+        pair_counts = self._read(found[PAIRED], pairs.keys, PAIR_BITS, self.lead)
+        context_counts = self._read(found[CONTEXTS], pairs.contexts, PAIR_BITS)
+        self.norms = np.concatenate([np.frombuffer(data, np.float32) for data, _ in found[NORMS]]).astype(np.float64) if found[NORMS] else None
+        kind = class_of[block.buckets]
+        self.share = (self.counts + 0.1) / (n_class[kind] + 0.1 * (v_class[kind] + 1))
+        self.weights = pair_weights(pair_counts, context_counts[pairs.context], self.share[pairs.word])
+
+    def _read(self, rows: list, keys: np.ndarray, bits: int, lead: np.ndarray | None = None) -> np.ndarray:
+        """The totals of all parts, one after another; how many a part has follows from the keys."""
+        part = keys >> np.uint64(bits - self.parts) if self.parts else np.zeros(len(keys), np.uint64)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]])
+        out = np.empty(len(keys), dtype=np.int64)
+        for (data, first), a, b in zip(rows, edges[:-1], edges[1:], strict=True):
+            out[a:b] = _unpacked(data, b - a)
+            if lead is not None:
+                lead[a:b] = np.unpackbits(np.frombuffer(first, np.uint8), count=b - a).astype(bool)
+        return out
 
 
 def _summed(rows: DataFrame, size: int) -> np.ndarray:
@@ -215,7 +384,7 @@ def _profiles(made: DataFrame) -> np.ndarray:
                 bucket = block.buckets[block.tokens].astype(np.int64)
                 inner = np.ones(len(bucket), dtype=bool)
                 inner[block.first[1:] - 1] = False
-                inner &= np.repeat(~block.held, np.diff(block.first))
+                inner &= block.learned()
                 at = np.flatnonzero(inner[:-1])
                 total += np.bincount(bucket[at] * PROFILE + bucket[at + 1] % PROFILE, minlength=len(total))
         yield from _pieces(total)
@@ -301,7 +470,7 @@ def train(made: DataFrame, class_of: np.ndarray, rounds: int = ROUNDS) -> Weight
                 for row in batch.to_pylist():
                     block = Block.of(row)
                     bucket, rows = block.features()
-                    take = np.flatnonzero(np.repeat(~block.held, np.diff(block.first)))
+                    take = np.flatnonzero(block.learned())
                     for a in range(0, len(take), BATCH):
                         at = take[a : a + BATCH]
                         own.update(rows[at], class_of[bucket[at]], met)
@@ -325,30 +494,35 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    made = common.materialize(blocks(given), "blocks", {"parquet.block.size": 8 << 20})
-    # corpus counts: a key has at most one row (some 30 bytes) per block of 8 MB of text
-    by_key = Window.partitionBy("key")
-    totals = _word_rows(made).withColumn("total", F.sum("n").over(by_key)).withColumn("lead", F.row_number().over(by_key.orderBy("block", "place")) == 1)
-    totals = common.materialize(totals.select("block", "place", "bucket", "total", "lead"), "totals")
-    seen = F.col("lead") & (F.col("total") > 0)
-    stats = totals.filter(seen).groupBy("bucket").agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()  # BUCKETS rows at most
+    made = common.materialize(blocks(given), "blocks", {"parquet.block.size": 8 << 20}, tokens=F.sum(F.length("tokens") / 2))
+    parts = _part_bits(made.measured["tokens"] or 0, common.partitions(spark))
     class_of = classes(_profiles(made))
+    returned = common.materialize(_totals(_counts(made, class_of, parts)), "totals")
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in stats:
-        n_class[class_of[row["bucket"]]] += row["n"]
-        v_class[class_of[row["bucket"]]] += row["v"]
+    for row in returned.filter("block = -1").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # CLASSES rows at most
+        n_class[row["kind"]], v_class[row["kind"]] = row["n"], row["v"]
     n_all, v_all = int(n_class.sum()), int(v_class.sum())
-    shared = spark.sparkContext.broadcast((train(made, class_of), class_of, n_class, v_class))
+    known = spark.sparkContext.broadcast((parts, class_of, n_class, v_class))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        weights, class_of, n_class, v_class = shared.value
+    def norms(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        block = Block.of(row)
-        counts = np.zeros(len(block.buckets), dtype=np.int64)
-        counts[right.column("place").to_numpy()] = right.column("total").to_numpy()
+        this = Counted(row, right, *known.value)
+        pairs = this.pairs
+        change = np.where(this.lead, this.share[pairs.word] * np.expm1(this.weights), 0)
+        sums = np.bincount(pairs.context, change, minlength=len(pairs.contexts)).astype(np.float32)
+        return pa.Table.from_batches(_entries(row["block"], NORMS, PAIR_BITS, parts, pairs.contexts, sums))
+
+    streams = made.select("block", *_STREAM, "keys")
+    counted = returned.filter("block >= 0").select("block", "kind", "part", "data", "lead")
+    summed = _totals(streams.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(norms, _ENTRIES)).select(*counted.columns)
+    shared = spark.sparkContext.broadcast(train(made, class_of))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        weights, class_of = shared.value, known.value[1]
+        this = Counted(left.to_pylist()[0], right, *known.value)
+        block, pairs, counts = this.block, this.pairs, this.counts
         base_word = np.log10((counts + 0.1) / (n_all + 0.1 * (v_all + 1)))
-        word_class = class_of[block.buckets]
-        word = np.log10((counts + 0.1) / (n_class[word_class] + 0.1 * (v_class[word_class] + 1)))
+        inner = np.log(this.share[pairs.word]) + this.weights - np.log1p(this.norms[pairs.context])
         bucket, rows = block.features()
         target = class_of[bucket]
         picked = np.empty(len(bucket), dtype=np.float64)
@@ -366,9 +540,13 @@ def score(docs: DataFrame, held_out) -> DataFrame:
                 "n_known": pa.array(np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts)),
                 "train_tokens": pa.array(np.full(len(starts), n_all, np.int64)),
                 "base_score": pa.array(np.add.reduceat(base_word[tokens], starts)),
-                "score": pa.array(np.add.reduceat(picked / np.log(10) + word[tokens], starts)),
+                "score": pa.array(np.add.reduceat((picked + inner[pairs.of_token]) / np.log(10), starts)),
             }
         )
 
-    streams = made.select("block", *_STREAM)
-    return streams.groupBy("block").cogroup(totals.select("block", "place", "total").groupBy("block")).applyInArrow(run, schema)
+    return streams.groupBy("block").cogroup(counted.unionByName(summed).groupBy("block")).applyInArrow(run, schema)
+
+
+def _part_bits(tokens: float, partitions: int) -> int:
+    """Parts are a power of two of these bits: one for PART_TOKENS tokens, and no fewer than half the partitions of a shuffle."""
+    return max(0, math.ceil(math.log2(max(tokens / PART_TOKENS, partitions / 2, 1))))

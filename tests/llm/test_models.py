@@ -110,9 +110,88 @@ def test_scoring_awkward(spark, monkeypatch):
     assert {r["train_tokens"] for r in nothing} == {0} and all(r["base_score"] == 0 for r in nothing)
 
 
+def test_scores_equal_plain_ones(spark, monkeypatch):
+    """Scores by dictionaries and bisection, given the weights and classes of the blocks' first factor."""
+    monkeypatch.setattr(maxent, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(maxent, "PART_TOKENS", 300)
+    rng = np.random.default_rng(3)
+    weights, class_of = maxent.Weights(), rng.integers(1, maxent.CLASSES, maxent.BUCKETS)
+    weights.rows[:], class_of[0] = rng.normal(size=weights.rows.shape), 0
+    monkeypatch.setattr(maxent, "train", lambda made, class_of: weights)
+    monkeypatch.setattr(maxent, "classes", lambda profiles: class_of)
+    df = documents(spark)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    held = lambda d: d is not None and crc(d, 10) == 0
+    _, counts, _, tokens = brute_base(rows, held)
+
+    def bucket(w):
+        if w is None:
+            return 0
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(maxent.K.RangeHasher(raw, lower=True)(np.array([max(0, len(raw) - 4)]), np.array([len(raw)]))[0] % np.uint64(maxent.BUCKETS - 1)) + 1
+
+    bucket_of = {w: bucket(w) for ws in tokens for w in ws}
+    kind = {w: int(class_of[b]) for w, b in bucket_of.items()}
+    n, v = [0] * maxent.CLASSES, [0] * maxent.CLASSES
+    for w, c in counts.items():
+        n[kind[w]] += c
+        v[kind[w]] += 1
+    share = {w: (counts.get(w, 0) + 0.1) / (n[k] + 0.1 * (v[k] + 1)) for w, k in kind.items()}
+    pairs: dict = {}
+    for (d, _), ws in zip(rows, tokens, strict=True):
+        for x, y in zip([None, *ws], ws, strict=False):
+            if not held(d):
+                pairs[x, y] = pairs.get((x, y), 0) + 1
+    context: dict = {}
+    for (x, y), c in pairs.items():
+        context[x, kind[y]] = context.get((x, kind[y]), 0) + c
+
+    def weight(x, y):
+        low, high = -40.0, 40.0
+        for _ in range(100):
+            w = (low + high) / 2
+            if pairs[x, y] - context[x, kind[y]] * share[y] * math.exp(w) - maxent.PENALTY * w > 0:
+                low = w
+            else:
+                high = w
+        return low
+
+    learned = {pair: weight(*pair) for pair in pairs}
+    norm: dict = {}
+    for (x, y), w in learned.items():
+        norm[x, kind[y]] = norm.get((x, kind[y]), 1.0) + share[y] * (math.exp(w) - 1)
+    want = []
+    for (d, _), ws in zip(rows, tokens, strict=True):
+        total, before = 0.0, [None, None, None]
+        for w in ws:
+            b = [bucket_of[x] for x in before]
+            features = [0, 1 + b[0], 1 + maxent.BUCKETS + b[1], 1 + 2 * maxent.BUCKETS + b[2], 1 + 3 * maxent.BUCKETS + (b[0] * 40503 + b[1] * 60013 >> 3) % maxent.PAIRS]
+            logits = weights.rows[features].astype(float).sum(axis=0)
+            total += logits[kind[w]] - logits.max() - math.log(np.exp(logits - logits.max()).sum())
+            total += math.log(share[w]) + learned.get((before[0], w), 0.0) - math.log(norm.get((before[0], kind[w]), 1.0))
+            before = [w, *before[:2]]
+        want.append((str(d), len(ws), total / math.log(10)))
+    got = [(str(r["doc_id"]), r["n_tokens"], r["score"]) for r in maxent.score(df, common.crc_remainder("doc_id", 10) == 0).collect()]
+    assert [x[:2] for x in sorted(got)] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in sorted(got)] == pytest.approx([x[2] for x in sorted(want)], rel=1e-4)
+
+
+def test_pair_weights_are_roots():
+    rng = np.random.default_rng(5)
+    context = rng.integers(1, 10**9, 2000)
+    count = np.minimum(rng.integers(0, 1000, 2000), context)
+    share = 10 ** -rng.uniform(0, 9, 2000)
+    w = maxent.pair_weights(count, context, share)
+    assert (w[count == 0] == 0).all()
+    seen = count > 0
+    gradient = count - context * share * np.exp(w) - maxent.PENALTY * w
+    assert (np.abs(gradient[seen]) < 1e-5 * (count + context * share)[seen]).all()
+
+
 def test_scoring_beats_its_base(spark):
+    """By well over the gain of the classes alone (8 %), as it knows whole words before others."""
     got = Q.op3_hashed_maxent(spark, SF).filter("held_out").collect()
-    assert sum(r["score"] for r in got) > 0.97 * sum(r["base_score"] for r in got)
+    assert sum(r["score"] for r in got) > 0.88 * sum(r["base_score"] for r in got)
 
 
 def test_model_is_a_distribution():
