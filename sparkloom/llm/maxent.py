@@ -8,7 +8,8 @@ the token in its class given the token before it:
   before that (skip features), and the preceding pair (n-gram). Here tokens enter
   features by ``BUCKETS`` buckets of their last letters.
 * Inside a class the softmax has two features: the token, and the pair of the whole
-  preceding word and the whole token, hashed to ``PAIR_BITS`` bits. The weight of the
+  preceding word and the whole token, hashed to so many bits
+  that few share one (``_Grid``). The weight of the
   token alone is log u, with u = (c + 0.1) / (N + 0.1 (V + 1)) by the class's counts
   (a class keeps the share of one unseen token). Every pair that occurs in training
   texts has a weight w of its own, fitted by gradient steps of the penalised likelihood
@@ -38,6 +39,7 @@ counts are 0 and every score follows from the formula. Other columns are ignored
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,8 +63,8 @@ RATE = 0.3
 #: Bytes of text of a block.
 BLOCK_BYTES = 8 << 20
 SUM_PARTS = 16
-#: Pairs and contexts are hashed to this many bits.
-PAIR_BITS = 48
+#: Pairs and contexts are hashed to this many bits more than the number of tokens has: one in 4,096 shares its place at most.
+SPARE_BITS = 12
 #: Weight of the squares of the pairs' weights in what is minimised.
 PENALTY = 0.1
 STEPS = 12
@@ -73,7 +75,23 @@ WORDS, PAIRED, CONTEXTS, NORMS = range(4)
 _RARE = 0xFFFF
 _END_KEY = np.uint64(0x0E4D)
 ROWS = 1 + 3 * BUCKETS + PAIRS
-_SCHEMA = "block long, turn int, doc_ids array<long>, held binary, first binary, tokens binary, rare binary, keys binary, buckets binary, counts binary"
+_SCHEMA = "block long, turn int, doc_ids array<long>, held binary, first binary, size long, tokens binary, rare binary, keys binary, buckets binary, counts binary"
+
+
+def _shrunk(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 as compressed planes of bytes, of as many bytes each as the largest takes."""
+    width = (int(values.max(initial=0)).bit_length() + 7) // 8 or 1
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<BQ", width, len(values)) + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b"")
+
+
+def _opened(data: bytes) -> np.ndarray:
+    """The numbers that ``_shrunk`` has packed."""
+    width, count = struct.unpack_from("<BQ", data)
+    out = np.zeros((count, 8), dtype=np.uint8)
+    if count:
+        out[:, :width] = np.frombuffer(pa.decompress(data[9:], decompressed_size=width * count, codec="zstd"), np.uint8).reshape(width, count).T
+    return out.view(np.uint64).ravel()
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -101,7 +119,10 @@ def blocks(docs: DataFrame) -> DataFrame:
                 pa.array([block]),
                 pa.array([(part + number) % ROUNDS], pa.int32()),
                 pa.array([ids], pa.list_(pa.int64())),
-                *(pa.array([x.tobytes()], pa.binary()) for x in (out_of, first, np.minimum(tokens, _RARE).astype(np.uint16), tokens[tokens >= _RARE], keys, kind[one], np.bincount(tokens[learned], minlength=len(keys)).astype(np.int64))),
+                pa.array([out_of.tobytes()], pa.binary()),
+                pa.array([_shrunk(first)], pa.binary()),
+                pa.array([len(tokens)]),
+                *(pa.array([x], pa.binary()) for x in (_shrunk(np.minimum(tokens, _RARE)), _shrunk(tokens[tokens >= _RARE]), keys.tobytes(), _shrunk(kind[one]), _shrunk(np.bincount(tokens[learned], minlength=len(keys))))),
             ]
             for x in (ids, held, streams, kinds, sizes):
                 x.clear()
@@ -142,10 +163,11 @@ class Block:
 
     @classmethod
     def of(cls, row: dict) -> Block:
-        read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
-        tokens = read("tokens", np.uint16).astype(np.int32)
-        tokens[tokens == _RARE] = read("rare", np.int32)
-        return cls(row["doc_ids"], read("held", bool), read("first", np.int64), tokens, read("buckets", np.uint16), *(read(name, kind) if name in row else None for name, kind in (("keys", np.uint64), ("counts", np.int64))))
+        tokens = _opened(row["tokens"]).astype(np.int32)
+        tokens[tokens == _RARE] = _opened(row["rare"])
+        keys = np.frombuffer(row["keys"], dtype=np.uint64) if "keys" in row else None
+        counts = _opened(row["counts"]).astype(np.int64) if "counts" in row else None
+        return cls(row["doc_ids"], np.frombuffer(row["held"], dtype=bool), _opened(row["first"]).astype(np.int64), tokens, _opened(row["buckets"]).astype(np.uint16), keys, counts)
 
     def learned(self) -> np.ndarray:
         """Which tokens are learned from."""
@@ -168,22 +190,47 @@ class Block:
         return bucket, rows
 
 
-_MASK = np.uint64(64 - PAIR_BITS)
+@dataclass
+class _Grid:
+    """How keys are hashed and dealt out: 2**parts parts, and pairs and contexts of ``bits`` bits."""
+
+    parts: int
+    bits: int
+
+    @classmethod
+    def of(cls, tokens: int, partitions: int) -> _Grid:
+        """A part for PART_TOKENS tokens, and no fewer parts than half the partitions of a shuffle."""
+        parts = max(0, math.ceil(math.log2(max(tokens / PART_TOKENS, partitions / 2, 1))))
+        return cls(parts, min(64, max(32, parts, tokens.bit_length() + SPARE_BITS)))
+
+    def width(self, kind: int) -> int:
+        return 64 if kind == WORDS else self.bits
+
+    def cuts(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts that sorted keys fall into, and the edges between them."""
+        part = (keys >> np.uint64(self.width(kind) - self.parts)).astype(np.int64) if self.parts else np.zeros(len(keys), np.int64)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]])
+        return part[edges[:-1]], edges
+
+    def base(self, kind: int, part: int) -> np.uint64:
+        """The least key of a part."""
+        return np.uint64(int(part) << (self.width(kind) - self.parts))
 
 
 class Pairs:
     """The distinct pairs of a block (preceding word and token) and their contexts (preceding word and class), by hash."""
 
-    def __init__(self, block: Block, class_of: np.ndarray):
+    def __init__(self, block: Block, class_of: np.ndarray, bits: int):
+        spare = np.uint64(64 - bits)
         word = block.keys[block.tokens]
         before = np.empty_like(word)
         before[1:] = word[:-1]
         before[block.first[:-1]] = _END_KEY  # the beginning counts as an end
         before = K.mix(before)
-        self.keys, one, self.of_token = np.unique(K.mix(before * np.uint64(3) + word) >> _MASK, return_index=True, return_inverse=True)
+        self.keys, one, self.of_token = np.unique(K.mix(before * np.uint64(3) + word) >> spare, return_index=True, return_inverse=True)
         self.word = block.tokens[one]
         kind = class_of[block.buckets[self.word]].astype(np.uint64)
-        self.contexts, self.context = np.unique(K.mix(before[one] + kind) >> _MASK, return_inverse=True)
+        self.contexts, self.context = np.unique(K.mix(before[one] + kind) >> spare, return_inverse=True)
         self.counts = np.bincount(self.of_token[block.learned()], minlength=len(self.keys))
         self.context_counts = np.bincount(self.context, self.counts, minlength=len(self.contexts)).astype(np.int64)
 
@@ -205,41 +252,36 @@ def pair_weights(count: np.ndarray, context: np.ndarray, share: np.ndarray, pena
     return out
 
 
-_ENTRIES = "part int, block long, kind int, low binary, high binary, value binary, class binary"
+_ENTRIES = "part int, block long, kind int, keys binary, value binary, class binary"
 _RETURNED = "block long, kind int, part int, data binary, lead binary, n long, v long"
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers in as many bytes as the largest takes."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
-
-
-def _unpacked(data: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"u{len(data) // max(count, 1) or 1}")
-
-
-def _entries(block: int, kind: int, bits: int, parts: int, keys: np.ndarray, values: np.ndarray, classes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """A block's sorted keys (of ``bits`` bits) and their values, a row for each part of the range of keys."""
-    places = np.flatnonzero(np.diff(part := (keys >> np.uint64(bits - parts)).astype(np.int32) if parts else np.zeros(len(keys), np.int32)))
-    edges = np.concatenate([[0], places + 1, [len(keys)]])
-    rows = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
-    low, high = keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint32)
-    for a in range(0, len(rows), 256):
-        some = rows[a : a + 256]
+def _entries(block: int, kind: int, grid: _Grid, keys: np.ndarray, values: np.ndarray, classes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A block's sorted keys and their values (of norms, the bits of a float32), a row for each part of the range of keys."""
+    part, edges = grid.cuts(kind, keys)
+    for a in range(0, len(part), 256):
+        some = [(p, slice(x, y)) for p, x, y in zip(part[a : a + 256], edges[a:], edges[a + 1 :], strict=False)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([part[x.start] for x in some], pa.int32()),
+                pa.array([p for p, _ in some], pa.int32()),
                 pa.array([block] * len(some), pa.int64()),
                 pa.array([kind] * len(some), pa.int32()),
-                pa.array([low[x].tobytes() for x in some], pa.binary()),
-                pa.array([high[x].tobytes() for x in some], pa.binary()),
-                pa.array([values[x].tobytes() if kind == NORMS else _packed(values[x]) for x in some], pa.binary()),
-                pa.array([None if classes is None else classes[x].tobytes() for x in some], pa.binary()),
+                pa.array([_shrunk(np.diff(keys[x], prepend=grid.base(kind, p))) for p, x in some], pa.binary()),
+                pa.array([_shrunk(values[x]) for _, x in some], pa.binary()),
+                pa.array([None if classes is None else classes[x].tobytes() for _, x in some], pa.binary()),
             ],
             names=[c.split()[0] for c in _ENTRIES.split(", ")],
         )
 
 
+def _bits(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.float32).view(np.uint32)
+
+
+def _floats(bits: np.ndarray) -> np.ndarray:
+    return bits.astype(np.uint32).view(np.float32).astype(np.float64)
+
+
 def _totals(entries: DataFrame) -> DataFrame:
     """For each row of entries, the sums of its keys' values over all blocks, in the order of its keys.
 
@@ -257,11 +299,12 @@ def _totals(entries: DataFrame) -> DataFrame:
                 out[name].append(value)
 
         for kind in np.unique(kinds):
-            rows = table.filter(pa.array(kinds == kind)).select(["block", "low", "high", "value", "class"]).to_pylist()
-            sizes = np.array([len(r["low"]) // 4 for r in rows])
-            low, high = (np.frombuffer(b"".join(r[name] for r in rows), np.uint32).astype(np.uint64) for name in ("low", "high"))
-            values = np.concatenate([np.frombuffer(r["value"], np.float32) if kind == NORMS else _unpacked(r["value"], n) for r, n in zip(rows, sizes, strict=True)])
-            keys, one, at = np.unique(low | high << np.uint64(32), return_index=True, return_inverse=True)
+            rows = table.filter(pa.array(kinds == kind)).select(["block", "keys", "value", "class"]).to_pylist()
+            gaps, values = [_opened(r["keys"]) for r in rows], np.concatenate([_opened(r["value"]) for r in rows])
+            edges = np.append(0, np.cumsum([len(x) for x in gaps]))
+            keys, one, at = np.unique(np.concatenate([np.cumsum(x) for x in gaps]), return_index=True, return_inverse=True)
+            if kind == NORMS:
+                values = _floats(values)
             total = np.bincount(at, values, minlength=len(keys))  # exact below 2**53
             if kind == WORDS:
                 kept = total > 0
@@ -271,17 +314,16 @@ def _totals(entries: DataFrame) -> DataFrame:
                     add(-1, int(k), n=int(n[k]), v=int(v[k]))
             lead = np.zeros(len(at), dtype=bool)
             lead[one] = True
-            edges = np.append(0, np.cumsum(sizes))
             for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True):
                 mine = total[at[a:b]]
-                add(r["block"], int(kind), mine.astype(np.float32).tobytes() if kind == NORMS else _packed(mine), np.packbits(lead[a:b]).tobytes() if kind == PAIRED else None)
+                add(r["block"], int(kind), _shrunk(_bits(mine) if kind == NORMS else mine), np.packbits(lead[a:b]).tobytes() if kind == PAIRED else None)
         types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
         return pa.table({c.split()[0]: pa.array(out[c.split()[0]], types[c.split()[1]]) for c in _RETURNED.split(", ")})
 
     return entries.groupBy("part").applyInArrow(run, _RETURNED)
 
 
-def _counts(made: DataFrame, class_of: np.ndarray, parts: int) -> DataFrame:
+def _counts(made: DataFrame, class_of: np.ndarray, grid: _Grid) -> DataFrame:
     """The entries of every block's words, pairs and contexts, with their occurrences in training texts."""
     shared = made.sparkSession.sparkContext.broadcast(class_of)
 
@@ -290,10 +332,10 @@ def _counts(made: DataFrame, class_of: np.ndarray, parts: int) -> DataFrame:
             for row in batch.to_pylist():
                 block = Block.of(row)
                 order = np.argsort(block.keys)
-                yield from _entries(row["block"], WORDS, 64, parts, block.keys[order], block.counts[order], shared.value[block.buckets[order]].astype(np.uint8))
-                pairs = Pairs(block, shared.value)
-                yield from _entries(row["block"], PAIRED, PAIR_BITS, parts, pairs.keys, pairs.counts)
-                yield from _entries(row["block"], CONTEXTS, PAIR_BITS, parts, pairs.contexts, pairs.context_counts)
+                yield from _entries(row["block"], WORDS, grid, block.keys[order], block.counts[order], shared.value[block.buckets[order]].astype(np.uint8))
+                pairs = Pairs(block, shared.value, grid.bits)
+                yield from _entries(row["block"], PAIRED, grid, pairs.keys, pairs.counts)
+                yield from _entries(row["block"], CONTEXTS, grid, pairs.contexts, pairs.context_counts)
 
     return made.select("block", *_STREAM, "keys", "counts").mapInArrow(run, _ENTRIES)
 
@@ -301,35 +343,23 @@ def _counts(made: DataFrame, class_of: np.ndarray, parts: int) -> DataFrame:
 class Counted:
     """A block with the corpus counts of its words, pairs and contexts, and the weights of its pairs."""
 
-    def __init__(self, row: dict, returned: pa.Table, parts: int, class_of: np.ndarray, n_class: np.ndarray, v_class: np.ndarray):
-        self.parts = parts
+    def __init__(self, row: dict, returned: pa.Table, grid: _Grid, class_of: np.ndarray, n_class: np.ndarray, v_class: np.ndarray):
         self.block = block = Block.of(row)
-        self.pairs = pairs = Pairs(block, class_of)
+        self.pairs = pairs = Pairs(block, class_of, grid.bits)
         found: dict[int, list] = {kind: [] for kind in (WORDS, PAIRED, CONTEXTS, NORMS)}
         for r in sorted(returned.select(["kind", "part", "data", "lead"]).to_pylist(), key=lambda r: r["part"]):
             found[r["kind"]].append((r["data"], r["lead"]))
-        word_keys = np.sort(block.keys)
-        self.counts = np.empty(len(word_keys), dtype=np.int64)
-        self.counts[np.argsort(block.keys)] = self._read(found[WORDS], word_keys, 64)
-        self.lead = np.zeros(len(pairs.keys), dtype=bool)
-        pair_counts = self._read(found[PAIRED], pairs.keys, PAIR_BITS, self.lead)
-        context_counts = self._read(found[CONTEXTS], pairs.contexts, PAIR_BITS)
-        self.norms = np.concatenate([np.frombuffer(data, np.float32) for data, _ in found[NORMS]]).astype(np.float64) if found[NORMS] else None
+        totals = {kind: np.concatenate([_opened(data) for data, _ in rows]) for kind, rows in found.items() if rows}
+        self.counts = np.empty(len(block.keys), dtype=np.int64)
+        self.counts[np.argsort(block.keys)] = totals[WORDS]
+        edges = grid.cuts(PAIRED, pairs.keys)[1]
+        self.lead = np.concatenate([np.unpackbits(np.frombuffer(lead, np.uint8), count=n) for (_, lead), n in zip(found[PAIRED], np.diff(edges), strict=True)]).astype(bool)
+        self.norms = _floats(totals[NORMS]) if NORMS in totals else None
+        pair_counts, context_counts = totals[PAIRED].astype(np.int64), totals[CONTEXTS].astype(np.int64)
         kind = class_of[block.buckets]
         self.share = (self.counts + 0.1) / (n_class[kind] + 0.1 * (v_class[kind] + 1))
         self.weights = pair_weights(pair_counts, context_counts[pairs.context], self.share[pairs.word])
 
-    def _read(self, rows: list, keys: np.ndarray, bits: int, lead: np.ndarray | None = None) -> np.ndarray:
-        """The totals of all parts, one after another; how many a part has follows from the keys."""
-        part = keys >> np.uint64(bits - self.parts) if self.parts else np.zeros(len(keys), np.uint64)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]])
-        out = np.empty(len(keys), dtype=np.int64)
-        for (data, first), a, b in zip(rows, edges[:-1], edges[1:], strict=True):
-            out[a:b] = _unpacked(data, b - a)
-            if lead is not None:
-                lead[a:b] = np.unpackbits(np.frombuffer(first, np.uint8), count=b - a).astype(bool)
-        return out
-
 
 def _summed(rows: DataFrame, size: int) -> np.ndarray:
     """The sum of arrays that tasks have emitted in SUM_PARTS pieces (part int, salt int, data binary of float32).
@@ -494,23 +524,23 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    made = common.materialize(blocks(given), "blocks", {"parquet.block.size": 8 << 20}, tokens=F.sum(F.length("tokens") / 2))
-    parts = _part_bits(made.measured["tokens"] or 0, common.partitions(spark))
+    made = common.materialize(blocks(given), "blocks", {"parquet.block.size": 8 << 20}, tokens=F.sum("size"))
+    grid = _Grid.of(made.measured["tokens"] or 0, common.partitions(spark))
     class_of = classes(_profiles(made))
-    returned = common.materialize(_totals(_counts(made, class_of, parts)), "totals")
+    returned = common.materialize(_totals(_counts(made, class_of, grid)), "totals")
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
     for row in returned.filter("block = -1").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # CLASSES rows at most
         n_class[row["kind"]], v_class[row["kind"]] = row["n"], row["v"]
     n_all, v_all = int(n_class.sum()), int(v_class.sum())
-    known = spark.sparkContext.broadcast((parts, class_of, n_class, v_class))
+    known = spark.sparkContext.broadcast((grid, class_of, n_class, v_class))
 
     def norms(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         this = Counted(row, right, *known.value)
         pairs = this.pairs
         change = np.where(this.lead, this.share[pairs.word] * np.expm1(this.weights), 0)
-        sums = np.bincount(pairs.context, change, minlength=len(pairs.contexts)).astype(np.float32)
-        return pa.Table.from_batches(_entries(row["block"], NORMS, PAIR_BITS, parts, pairs.contexts, sums))
+        sums = np.bincount(pairs.context, change, minlength=len(pairs.contexts))
+        return pa.Table.from_batches(_entries(row["block"], NORMS, grid, pairs.contexts, _bits(sums)))
 
     streams = made.select("block", *_STREAM, "keys")
     counted = returned.filter("block >= 0").select("block", "kind", "part", "data", "lead")
@@ -546,7 +576,3 @@ def score(docs: DataFrame, held_out) -> DataFrame:
 
     return streams.groupBy("block").cogroup(counted.unionByName(summed).groupBy("block")).applyInArrow(run, schema)
 
-
-def _part_bits(tokens: float, partitions: int) -> int:
-    """Parts are a power of two of these bits: one for PART_TOKENS tokens, and no fewer than half the partitions of a shuffle."""
-    return max(0, math.ceil(math.log2(max(tokens / PART_TOKENS, partitions / 2, 1))))

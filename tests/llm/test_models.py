@@ -113,7 +113,7 @@ def test_scoring_awkward(spark, monkeypatch):
 def test_scores_equal_plain_ones(spark, monkeypatch):
     """Scores by dictionaries and bisection, given the weights and classes of the blocks' first factor."""
     monkeypatch.setattr(maxent, "BLOCK_BYTES", 4000)
-    monkeypatch.setattr(maxent, "PART_TOKENS", 300)
+    monkeypatch.setattr(maxent, "PART_TOKENS", 300)  # several parts
     rng = np.random.default_rng(3)
     weights, class_of = maxent.Weights(), rng.integers(1, maxent.CLASSES, maxent.BUCKETS)
     weights.rows[:], class_of[0] = rng.normal(size=weights.rows.shape), 0
