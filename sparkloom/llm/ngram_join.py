@@ -496,6 +496,17 @@ def _stars(pairs: np.ndarray) -> np.ndarray:
     return np.column_stack([names[own], names[least[own]]])
 
 
+def _bands(sizes: np.ndarray, words: np.ndarray, threshold: int) -> Iterator[np.ndarray]:
+    """For each width of bitmaps (``words`` of 64 bits) the sets of this width and the wider ones that may link with them.
+
+    A tree folds its bitmaps to the narrowest, and in that of a short text all long ones look alike.
+    """
+    for width in np.unique(words).tolist():
+        at = np.flatnonzero((words >= width) & (threshold * sizes <= 6400 * width))
+        if len(at) > 1:
+            yield at
+
+
 def _candidates(cells: DataFrame, threshold: int) -> DataFrame:
     """Edges (a, b) between labels that connect what may link, by bitmaps. cells: cell, node, side, label, n, map."""
 
@@ -512,9 +523,11 @@ def _candidates(cells: DataFrame, threshold: int) -> DataFrame:
             found = [np.column_stack([label[a[keep]], label[b[keep]]])]
             raw, offs = K.buffers(maps)
             for x, m in zip(starts[lengths > FANOUT].tolist(), lengths[lengths > FANOUT].tolist(), strict=True):
-                bitmaps = [raw[offs[k] : offs[k + 1]].view(np.uint64) for k in range(x, x + m)]
-                edges = np.array(links(sizes[x : x + m], bitmaps, threshold, None, side[x : x + m], labels=label[x : x + m]), dtype=np.int64).reshape(-1, 2)
-                found.append(label[x + edges])
+                for at in _bands(sizes[x : x + m], np.diff(offs[x : x + m + 1]) // 8, threshold):
+                    at += x
+                    bitmaps = [raw[offs[k] : offs[k + 1]].view(np.uint64) for k in at.tolist()]
+                    edges = np.array(links(sizes[at], bitmaps, threshold, None, side[at], labels=label[at]), dtype=np.int64).reshape(-1, 2)
+                    found.append(label[at[edges]])
             fresh = [p for p in map(tuple, _stars(np.concatenate(found)).tolist()) if p not in done]
             if len(done) < 500_000:  # only spares repeats, which are made distinct later
                 done.update(fresh)

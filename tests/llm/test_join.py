@@ -121,6 +121,21 @@ def test_rounds_join_chunks_and_outliers(spark, monkeypatch):
     check(df, 4, 85, chunk=11, count=True)
 
 
+def test_long_texts_with_a_short_one_are_no_candidates(spark):
+    """Long texts of one cell that share next to nothing are told apart, whatever short text the cell has besides; near ones are found."""
+    rng = np.random.default_rng(4)
+    texts = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (5, 40, *[600] * 20, 2000)]
+    near = np.unique(np.append(texts[5][8:], rng.integers(0, 1 << 63, 8, dtype=np.uint64)))
+    wide = np.unique(np.append(texts[1], rng.integers(0, 1 << 63, 6, dtype=np.uint64)))
+    edge = [np.unique(rng.integers(0, 1 << 63, 510, dtype=np.uint64))]
+    edge.append(np.unique(np.append(edge[0], rng.integers(0, 1 << 63, 20, dtype=np.uint64))))  # one bitmap is twice as wide
+    texts += [near, wide, *edge]
+    rows = [(1, k, k, k, len(x), bytearray(ngram_join.bitmap(x).tobytes())) for k, x in enumerate(texts)]
+    cells = spark.createDataFrame(rows, "cell long, node long, side long, label long, n long, map binary")
+    got = {(r["a"], r["b"]) for r in ngram_join._candidates(cells, 85).collect()}
+    assert got == {(23, 5), (24, 1), (26, 25)}
+
+
 def test_prefixes_share_a_key():
     rng = np.random.default_rng(5)
     counts = rng.integers(0, 9, 1 << ngram_join.SKETCH_BITS).astype(np.uint64)
