@@ -68,6 +68,8 @@ HOT_KEY = 1 << 15
 REPRESENTATIVES = 8
 #: Rows of cells (32 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bits of the bitmap of doc_ids whose texts are looked at again, at most (16 MB).
+MARK_BITS = 1 << 27
 #: Cells are looked at in tables of about so many rows or bytes.
 WINDOW_ROWS = 1 << 13
 WINDOW_BYTES = 8 << 20
@@ -280,7 +282,7 @@ def _described(docs: DataFrame, ngram: int) -> DataFrame:
                     [batch.column(0).slice(a, rows), pa.array(np.diff(first)), pa.array(_node_hashes(values, first)), pa.array(maps, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                     names=["doc_id", "n_shingles", "node", "map", "piece", "counts"],
                 )
-        full = [(k, part.astype(np.uint64).tobytes()) for k, part in enumerate(np.split(counts, PIECES)) if part.any()]
+        full = [(k, _packed(part)) for k, part in enumerate(np.split(counts, PIECES)) if part.any()]
         if full:
             nothing = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array([k for k, _ in full], pa.int32()), pa.array([c for _, c in full], pa.binary())], names=["doc_id", "n_shingles", "node", "map", "piece", "counts"])
@@ -288,15 +290,27 @@ def _described(docs: DataFrame, ngram: int) -> DataFrame:
     return docs.mapInArrow(run, _DESCRIBED)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest takes, compressed."""
+    kind = np.min_scalar_type(int(counts.max()))
+    return kind.char.encode() + pa.compress(counts.astype(kind).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    kind = np.dtype(data[:1].decode())
+    size = (1 << SKETCH_BITS) // PIECES * kind.itemsize
+    return np.frombuffer(pa.decompress(data[1:], decompressed_size=size, codec="zstd", asbytes=True), dtype=kind).astype(np.uint64)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the pieces of a task, as they come."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(part, dtype=np.uint64)
+            part = _unpacked(part)
             sums[k] = sums[k] + part if k in sums else part
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["piece", "counts"])
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
@@ -307,7 +321,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
     pieces = pieces.repartition(n, "piece").mapInArrow(_summed, "piece int, counts binary")
     counts = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), dtype=np.uint64)
     for row in pieces.toArrow().to_pylist():
-        counts[row["piece"]] = np.frombuffer(row["counts"], dtype=np.uint64)
+        counts[row["piece"]] = _unpacked(row["counts"])
     return counts.ravel()
 
 
@@ -615,8 +629,8 @@ def _counted(members: DataFrame, chunk: int, name: str = "chunks") -> DataFrame:
 def _by_rounds(members: DataFrame, chunk: int, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, label) of the components of groups, no matter how large a group is.
 
-    members: group, node and weight, materialized. ``edges_of`` takes cells (cell, node, side,
-    label) and gives edges between labels. Small groups are a cell each. A large one is first
+    members: group, node and weight, materialized; the first cells have their further columns too.
+    ``edges_of`` takes cells (cell, node, side, label) and gives edges between labels. Small groups are a cell each. A large one is first
     cut into chunks, each a cell; then a few members of each component found so far meet;
     then all others meet with the members of the group's largest component and with each
     other, in pairs of chunks, unless they are connected already. So a group of near copies
@@ -629,7 +643,7 @@ def _by_rounds(members: DataFrame, chunk: int, edges_of: Callable[[DataFrame], D
     if common.is_empty(large):
         return labels
 
-    big = common.materialize(common.join_small(members, large.select("group"), "group"), "big")
+    big = common.materialize(common.join_small(members.select("group", "node", "weight"), large.select("group"), "group"), "big")
     several = _open(big, labels)
     if common.is_empty(several):
         return labels
@@ -663,15 +677,16 @@ def _others(several: DataFrame, chunk: int) -> DataFrame:
 
 
 def _first_cells(members: DataFrame, large: DataFrame) -> DataFrame:
-    """Cells of small groups, and of the chunks of large ones by themselves."""
+    """Cells of small groups, and of the chunks of large ones by themselves; further columns of members stay."""
+    further = [c for c in members.columns if c not in ("group", "node", "weight")]
     counted = common.join_small(members, large, "group", "left")
     cell = F.when(F.col("chunks").isNull(), F.col("group")).otherwise(F.xxhash64("group", _chunk_of()))
-    return counted.select(cell.alias("cell"), "node", F.col("node").alias("side"), F.col("node").alias("label"))
+    return counted.select(cell.alias("cell"), "node", F.col("node").alias("side"), F.col("node").alias("label"), *further)
 
 
 def _cross(members: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame:
     """Cells of every two different chunks of the large groups."""
-    big = common.join_small(members, large, "group").join(labels.hint("merge"), "node", "left")
+    big = common.join_small(members.select("group", "node"), large, "group").join(labels.hint("merge"), "node", "left")
     cells = big.select("group", "node", F.coalesce("label", "node").alias("label"), _chunk_of().alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).filter("own <> other")
     return cells.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", F.col("own").alias("side"), "label")
 
@@ -693,8 +708,9 @@ class _Prepared:
         described = common.materialize(_described(texts, ngram), "described")
         self.rows = described.filter("piece IS NULL").select("doc_id", "n_shingles", "node")
         real = described.filter("doc_id IS NOT NULL AND n_shingles > 0")
-        ids = real.groupBy("node", "doc_id").agg(F.any_value("n_shingles").alias("n"), F.any_value("map").alias("map"))
-        self.nodes = common.materialize(ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("map").alias("map")), "nodes", most=F.max("copies"))
+        ids = real.groupBy("node", "doc_id").agg(F.any_value("n_shingles").alias("n"), F.any_value("map").alias("map"), F.count("*").alias("rows"))
+        nodes = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("map").alias("map"), F.max("rows").alias("rows"))
+        self.nodes = common.materialize(nodes, "nodes", most=F.max("copies"), rows_of_one=F.max("rows"))
 
         n = common.partitions(docs.sparkSession)
         keys = _keys(texts.filter("doc_id IS NOT NULL"), ngram, threshold, _sketch(described))
@@ -705,14 +721,19 @@ class _Prepared:
 
         # the n-grams of the sets of clusters, from one text of each
         chosen = common.materialize(clusters.join(self.nodes.select("node", "doc_id", "copies", "n").hint("merge"), "node").withColumnRenamed("label", "cluster"), "chosen")
-        self.members = chosen.select(F.col("cluster").alias("group"), "node", F.greatest(F.lit(1.0), F.col("n") / F.lit(512.0)).alias("weight"))
-        self.large = common.materialize(_counted(self.members, chunk).filter("chunks > 1"), "large")
-        wanted = common.join_small(texts, chosen.select("doc_id", "node", "copies"), "doc_id").select("doc_id", "text", "node", "copies")
-        self.values = common.materialize(_values(wanted, ngram).dropDuplicates(["node"]), "values")
+        values = _values(_wanted(texts, chosen).select("text", "node", "copies", "cluster"), ngram)
+        if (self.nodes.measured["rows_of_one"] or 0) > 1:
+            values = values.dropDuplicates(["node"])
+        self.values = common.materialize(values, "values")
+        weight = F.greatest(F.lit(1.0), F.length("values") / F.lit(8 * 512.0))
+        self.members = self.values.select(F.col("cluster").alias("group"), "node", weight.alias("weight"), "copies", "values")
+        sized = chosen.select(F.col("cluster").alias("group"), F.greatest(F.lit(1.0), F.col("n") / F.lit(512.0)).alias("weight"))
+        self.large = common.materialize(_counted(sized, chunk).filter("chunks > 1"), "large")
 
     def exact(self, cells: DataFrame, what: str) -> DataFrame:
-        filled = _filled(cells, self.values).select("cell", "node", "side", "label", "copies", "values")
-        return _exact(filled, self.threshold, what)
+        """Links of cells; the first ones have their n-grams already, and others get them here."""
+        filled = cells if "values" in cells.columns else _filled(cells, self.values)
+        return _exact(filled.select("cell", "node", "side", "label", "copies", "values"), self.threshold, what)
 
     def same_ids(self) -> DataFrame | None:
         """Edges between the sets of a doc_id that several rows with different sets have; None if there are none."""
@@ -724,19 +745,66 @@ class _Prepared:
         return common.materialize(common.join_small(real, several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"), "same_ids")
 
 
+def _marks(chosen: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of hashed doc_ids, made in PIECES."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    width = bits // PIECES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            for k in np.unique(place // width).tolist():
+                pieces.setdefault(k, np.zeros(width, dtype=bool))[place[place // width == k] % width] = True
+        for k, piece in pieces.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(piece).tobytes()], pa.binary())], names=["piece", "bits"])
+
+    placed = chosen.select(at.alias("at")).repartition(PIECES, F.floor(F.col("at") / F.lit(width)))
+    out = np.zeros((PIECES, width // 8), dtype=np.uint8)
+    for row in placed.mapInArrow(run, "piece long, bits binary").toArrow().to_pylist():
+        out[row["piece"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.ravel()
+
+
+def _marked(texts: DataFrame, chosen: DataFrame, bits: int) -> DataFrame:
+    """The texts whose doc_id is marked, which are the chosen ones and a few others."""
+    shared = texts.sparkSession.sparkContext.broadcast(_marks(chosen, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)).select(["doc_id", "text"])
+
+    placed = texts.filter("doc_id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
+    return placed.mapInArrow(run, "doc_id long, text string")
+
+
+def _wanted(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen sets with the texts of their doc_ids; texts that are not wanted stay out of the shuffle.
+
+    Few chosen are broadcast, of more a bitmap. What it lets through besides is dropped by the join,
+    and beyond MARK_BITS / 4 chosen it would spare too little.
+    """
+    rows = chosen.measured["rows"]
+    if BROADCAST_ROWS < rows <= MARK_BITS // 4:
+        bits = max(1 << 16, min(MARK_BITS, 1 << (16 * rows - 1).bit_length()))
+        texts = _marked(texts, chosen, bits)
+    return common.join_small(texts, chosen, "doc_id", rows=BROADCAST_ROWS)
+
+
 def _values(docs: DataFrame, ngram: int) -> DataFrame:
     """The n-gram hashes of the texts that have the set they are wanted for (a doc_id may repeat with other texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(2).to_numpy()
-            for a, b, values, first in sets(batch.column(1), ngram):
+            wanted = batch.column(1).to_numpy()
+            for a, b, values, first in sets(batch.column(0), ngram):
                 right = np.flatnonzero(_node_hashes(values, first) == wanted[a:b])
                 packed = [values[first[k] : first[k + 1]].tobytes() for k in right.tolist()]
                 if packed:
-                    yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(a + right)), batch.column(3).take(pa.array(a + right)), pa.array(packed, pa.binary())], names=["node", "copies", "values"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(a + right)) for c in ("node", "copies", "cluster")), pa.array(packed, pa.binary())], names=["node", "copies", "cluster", "values"])
 
-    return docs.mapInArrow(run, "node long, copies long, values binary")
+    return docs.mapInArrow(run, "node long, copies long, cluster long, values binary")
 
 
 def _by_node(rows: DataFrame, told: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -802,7 +870,7 @@ def pairs(docs: DataFrame, ngram: int = NGRAM, threshold: int = THRESHOLD, chunk
     """
     own = _Prepared(docs, ngram, threshold, chunk)
     nothing = own.nodes.select("node", F.col("node").alias("label")).limit(0)
-    cells = _first_cells(own.members, own.large).unionByName(_cross(own.members, own.large, nothing))
+    cells = _first_cells(own.members.select("group", "node", "weight"), own.large).unionByName(_cross(own.members, own.large, nothing))
     found = common.materialize(own.exact(cells, "pairs").withColumnRenamed("links", "shared"), "pairs")
     same = own.nodes.filter("copies > 1").select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("n").alias("shared"))
     found = found.unionByName(same)

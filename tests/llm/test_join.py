@@ -136,6 +136,19 @@ def test_long_texts_with_a_short_one_are_no_candidates(spark):
     assert got == {(23, 5), (24, 1), (26, 25)}
 
 
+def test_texts_outside_clusters_are_not_shuffled(spark, monkeypatch):
+    """Of many chosen sets the texts are found by a bitmap, which leaves out most others before the join, and none that is wanted."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 20)
+    texts = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    chosen = texts.filter("doc_id % 50 = 7").select("doc_id", F.col("doc_id").alias("node"))
+    chosen.measured = {"rows": chosen.count()}
+    ids = {r["doc_id"] for r in ngram_join._marked(texts, chosen, 1 << 16).collect()}
+    assert {*range(7, 3000, 50)} <= ids and len(ids) < 100
+    wanted = ngram_join._wanted(texts, chosen)
+    assert sorted((r["node"], r["text"]) for r in wanted.collect()) == [(k, f"text {k}") for k in range(7, 3000, 50)]
+    assert "MapInArrow" in wanted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_prefixes_share_a_key():
     rng = np.random.default_rng(5)
     counts = rng.integers(0, 9, 1 << ngram_join.SKETCH_BITS).astype(np.uint64)
