@@ -60,6 +60,8 @@ PROFILE = 64
 ROUNDS = 4
 BATCH = 4096
 RATE = 0.3
+#: Tokens of a batch with the same feature that are added up one after another.
+SHORT_RUN = 7
 #: Bytes of text of a block.
 BLOCK_BYTES = 8 << 20
 SUM_PARTS = 16
@@ -178,7 +180,7 @@ class Block:
         bucket = self.buckets[self.tokens].astype(np.int64)
         n = len(bucket)
         place = np.arange(n) - np.repeat(self.first[:-1], np.diff(self.first))
-        rows = np.zeros((n, 4), dtype=np.int32)
+        rows = np.zeros((n, 4), dtype=np.min_scalar_type(ROWS))  # 16 bits, which numpy sorts by radix
         before = []
         for k in (1, 2, 3):
             back = np.zeros(n, dtype=np.int64)
@@ -447,6 +449,22 @@ def classes(profiles: np.ndarray, count: int = CLASSES) -> np.ndarray:
     return out
 
 
+def _run_sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums over runs of ``order``. Most runs are a few rows, which are added place by place; reduceat takes the long ones."""
+    out = values[order[starts]]
+    long = np.flatnonzero(counts > SHORT_RUN)
+    if len(long):
+        edges = np.append(0, np.cumsum(counts[long]))
+        out[long] = np.add.reduceat(values[order[K.expand(starts[long], counts[long])]], edges[:-1], axis=0)
+    short = np.flatnonzero((counts > 1) & (counts <= SHORT_RUN))
+    for k in range(1, SHORT_RUN):
+        if not len(short):
+            break
+        out[short] += values[order[starts[short] + k]]
+        short = short[counts[short] > k + 1]
+    return out
+
+
 class Weights:
     """Feature rows by class, with AdaGrad's sum of squares for each row."""
 
@@ -470,9 +488,11 @@ class Weights:
         p[np.arange(len(p)), target] -= 1
         for k in range(4):
             order = np.argsort(rows[:, k], kind="stable")
-            starts = np.flatnonzero(np.append(True, np.diff(rows[order, k]) != 0))
-            used, counts = rows[order[starts], k], np.diff(np.append(starts, len(order)))
-            gradient = np.add.reduceat(p[order], starts, axis=0) / np.sqrt(counts)[:, None]
+            sorted_rows = rows[order, k]
+            starts = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
+            used, counts = sorted_rows[starts], np.diff(np.append(starts, len(order)))
+            gradient = _run_sums(p, order, starts, counts)
+            gradient /= np.sqrt(counts).astype(np.float32)[:, None]
             self._step(used, gradient)
             met[used] += counts
         self._step(np.array([0]), p.sum(axis=0, keepdims=True) / np.float32(len(p)) ** 0.5)

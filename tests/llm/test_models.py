@@ -210,6 +210,22 @@ def test_model_is_a_distribution():
     assert ((c + 0.1) / (c.sum() + 0.1 * (len(c) + 1))).sum() + 0.1 / (c.sum() + 0.1 * (len(c) + 1)) == pytest.approx(1)
 
 
+def test_runs_of_any_length_are_summed():
+    """What a step sums by feature, in 32 bits, from rows of 16 bits (which sort by radix)."""
+    rng = np.random.default_rng(8)
+    block = maxent.Block([1, 2], np.zeros(2, bool), np.array([0, 3, 9]), np.arange(9, dtype=np.int32) % 4, np.array([0, 7, 4095, 20], np.uint16), None, None)
+    rows = block.features()[1]
+    assert rows.dtype == np.uint16 and rows.max() < maxent.ROWS
+    lengths = np.array([1, 2, 3, maxent.SHORT_RUN - 1, maxent.SHORT_RUN, maxent.SHORT_RUN + 1, 1, 300, 1, 2])
+    names = np.repeat(rng.permutation(len(lengths)), lengths)[rng.permutation(lengths.sum())].astype(np.uint16)
+    values = rng.normal(size=(len(names), 5)).astype(np.float32)
+    order = np.argsort(names, kind="stable")
+    used, starts, counts = np.unique(names[order], return_index=True, return_counts=True)
+    got = maxent._run_sums(values, order, starts, counts)
+    want = np.array([values[names == k].sum(axis=0, dtype=np.float64) for k in used])
+    assert got.dtype == np.float32 and np.allclose(got, want, atol=1e-4)
+
+
 def test_classes():
     rng = random.Random(1)
     profiles = np.zeros((200, 8))
