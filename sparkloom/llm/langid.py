@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import textkernel as K
 
 BUCKETS = 1 << 16
@@ -179,14 +180,17 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def train(docs: DataFrame, learn, sample: int = SAMPLE) -> Model:
-    """Learns from the rows of ``docs`` (doc_id, text, lang) for which ``learn`` holds and lang is given."""
+    """Learns from the rows of ``docs`` (doc_id, text, lang) for which ``learn`` holds and lang is given.
+
+    An executor fits the regression (``common.learned``).
+    """
     usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     total, counts = document_frequencies(usable)
     idf = np.log((1 + total) / (1 + counts)) + 1
     order = (F.xxhash64("doc_id"), "doc_id", "lang")
     chosen = usable.select("doc_id", "lang").distinct().orderBy(*order).limit(sample).withColumnRenamed("lang", "label")
-    rows = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter("lang = label").orderBy(*order).limit(sample).toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), idf)
+    rows = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter("lang = label").orderBy(*order).limit(sample)
+    return common.learned(rows.select("text", "lang"), lambda rows: fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), idf))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import textkernel as K
 
 WIDTH = 8
@@ -174,14 +175,17 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPO
 def train(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> Network:
     """Fits on at most ``sample`` labelled documents among those for which ``learn`` (a condition on doc_id) holds.
 
-    A document with several labels counts as the least of them.
+    A document with several labels counts as the least of them. An executor does the fitting (``common.learned``).
     """
+
+    def fitted(rows: pa.Table) -> Network:
+        rows = rows.sort_by([("doc_id", "ascending")])
+        return fit([x.as_py() for x in rows.column("data")], np.array(rows.column("quality").to_pylist(), dtype=np.float32))
+
     known = labels.filter(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "data").limit(sample).toArrow()  # a doc_id may repeat
-    rows = rows.sort_by([("doc_id", "ascending")])
-    return fit([x.as_py() for x in rows.column("data")], np.array(rows.column("quality").to_pylist(), dtype=np.float32))
+    return common.learned(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "data").limit(sample), fitted)  # a doc_id may repeat
 
 
 def _scores(net: Network, column: pa.Array) -> np.ndarray:

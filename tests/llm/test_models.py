@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 
@@ -250,3 +251,13 @@ def test_sums_of_tasks(spark, partitions):
         assert np.allclose(maxent._summed(rows, 1000), sum(range(70)) + 7 * np.arange(1000))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_executors_learn(spark, monkeypatch):
+    """The driver holds neither the texts to learn from nor what learning takes of memory."""
+    df = spark.createDataFrame([(k, f"text {k}", "aa") for k in range(20)], "doc_id long, text string, lang string")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: (os.getpid(), len(texts), float(labels.sum())))
+    monkeypatch.setattr(langid, "fit", lambda texts, labels, idf: (os.getpid(), len(texts), len(labels)))
+    learners = quality.train(df, labels, F.lit(True)), langid.train(df, F.lit(True))
+    assert [x[1:] for x in learners] == [(20, 10.0), (20, 20)] and os.getpid() not in [x[0] for x in learners]
