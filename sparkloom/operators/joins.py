@@ -101,11 +101,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) ->
     """An inner equi-join whose keys are spread over ``salts`` partitions each, for keys that hold much of ``left``.
 
     A row's salt is its place in its task, so equal rows are spread as well; a task that
-    runs again over the same input gives the same salts.
+    runs again over the same input gives the same salts. Both sides are shuffled whatever
+    their size: Catalyst doesn't count the copies of ``right``, and would broadcast them all.
     """
     a = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [key, "_salt"]).drop("_salt")
+    return a.join(b.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 @query("SELECT c_nationkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey")

@@ -39,6 +39,14 @@ def test_salted_join(spark):
     assert salted_join(a, b, "k", 4).count() == 50
 
 
+def test_salted_join_broadcasts_no_copies(spark):
+    a = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    b = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    found = salted_join(a, b, "k")
+    assert rows(found) == sorted(((i % 7, i, i % 7 * 10) for i in range(1000) if i % 7 < 5), key=str)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_json_set(spark):
     for text, path, new, want in (("{}", "a.b", 1, '{"a":{"b":1}}'), ('{"a":[1,2]}', "a.1", "x", '{"a":[1,"x"]}'), ('{"a":[1]}', "a.5", 0, '{"a":[1]}'), ("bad", "a", 1, None)):
         assert value(spark, fn.json_set(F.lit(text), path, F.lit(new))) == want
